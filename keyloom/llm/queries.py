@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import table
+from keyloom.llm.common import scratch, table
+from keyloom.llm.mixing import mix_counts
+from keyloom.llm.sharding import shard_documents
 from keyloom.llm.simhash import simhash_components
+from keyloom.llm.token_store import read_tokens, write_tokens
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), uri, tokenizer_path())
+    return read_tokens(spark, uri, with_ids=False)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +31,59 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(strlen(text), 0)::BIGINT AS b
+  FROM documents),
+sources AS (SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+ranked AS (SELECT *, row_number() OVER (ORDER BY k) AS r FROM sources),
+weighed AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap FROM ranked),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER lower_ones, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER lower_ones, 0)) AS level
+  FROM weighed WINDOW lower_ones AS (ORDER BY cap::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (SELECT k, r, source_size, least(cap::DOUBLE, max(level) OVER () * w) AS target FROM levels),
+wanted AS (
+  SELECT *, (source_size + 255) // 256 AS nb, floor(target)::BIGINT // source_size AS whole, floor(target)::BIGINT % source_size AS rest
+  FROM targets WHERE source_size > 0),
+blocks AS (SELECT *, unnest(range(nb)) AS blk FROM wanted),
+drawn AS (
+  SELECT *, least(256, source_size - blk * 256) AS len, (blk * 65537 + r) % 2147483647 AS low FROM blocks),
+mixed AS (SELECT *, ((low * 48271 + 1) % 2147483647 * ((low * 48271 + 1) % 2147483647) + low * 16807) % 2147483647 AS m FROM drawn),
+parts AS (
+  SELECT k, blk, greatest(0, least(len, rest - coalesce(sum(len) OVER (PARTITION BY k ORDER BY m, blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part
+  FROM mixed),
+docs AS (SELECT *, ((coalesce(doc_id, -1) + size * 31 + b) % 2147483647 + 2147483647) % 2147483647 AS low FROM sized),
+ordered AS (SELECT *, ((low * 48271 + 1) % 2147483647 * ((low * 48271 + 1) % 2147483647) + low * 16807) % 2147483647 AS m FROM docs),
+placed AS (
+  SELECT doc_id, k, size, coalesce(sum(size) OVER (PARTITION BY k ORDER BY m, doc_id NULLS FIRST, size, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM ordered),
+pieces AS (SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS blk FROM placed WHERE size > 0),
+once AS (
+  SELECT p.k, p.start, p.doc_id, p.size, sum(greatest(0, least(q.part, least(256, p.start + p.size - p.blk * 256)) - greatest(0, p.start - p.blk * 256)))::BIGINT AS n
+  FROM pieces p JOIN parts q USING (k, blk) GROUP BY ALL)
+SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN s.size = 0 THEN 0 ELSE (floor(t.target)::BIGINT // t.source_size) * s.size + o.n END::BIGINT AS taken
+FROM placed s JOIN targets t USING (k) LEFT JOIN once o ON o.k = s.k AND o.start = s.start AND o.size = s.size AND o.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return shard_documents(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {
+        "op2_token_planes": op2_token_planes,
+        "op7_simhash": op7_simhash,
+        "op9_mixing": op9_mixing,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
