@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import scratch, table
+from keyloom.llm.decontaminate import find_benchmark_items
 from keyloom.llm.mixing import mix_counts
+from keyloom.llm.quality import held_out, score_documents, train
 from keyloom.llm.sharding import shard_documents
 from keyloom.llm.simhash import simhash_components
 from keyloom.llm.token_store import read_tokens, write_tokens
@@ -26,6 +28,17 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, uri, with_ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -79,6 +92,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_planes": op2_token_planes,
+        "op4_quality": op4_quality,
+        "op5_decontamination": op5_decontamination,
         "op7_simhash": op7_simhash,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
