@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import scratch, table
 from keyloom.llm.decontaminate import find_benchmark_items
+from keyloom.llm.embedding_dedup import embedding_components
 from keyloom.llm.mixing import mix_counts
+from keyloom.llm.pii import BASE, find_personal_data
 from keyloom.llm.quality import held_out, score_documents, train
 from keyloom.llm.sharding import shard_documents
 from keyloom.llm.simhash import simhash_components
@@ -28,6 +30,27 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, uri, with_ids=False)
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_components(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN least m ON m.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -44,6 +67,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*BASE)), name), ",")
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *map(count, BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans"), scores.alias("scores"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
@@ -92,13 +124,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_planes": op2_token_planes,
+        "op3_embeddings": op3_embeddings,
         "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,
         "op7_simhash": op7_simhash,
+        "op8_personal_data": op8_personal_data,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL}
+    return {"op3_embeddings": OP3_SQL, "op9_mixing": OP9_SQL}

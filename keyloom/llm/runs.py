@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
-def in_blocks(df: DataFrame, keys: list[str], item: Column, block: int) -> DataFrame:
+def in_blocks(df: DataFrame, keys: list[str], item: Column, block: int, shared: bool = False) -> DataFrame:
     """df with the columns run, side and cross: rows of one run are to be compared.
 
     A bucket (equal keys) of at most `block` rows is one run. A larger one is dealt into blocks by item, and each pair of
     blocks is a run of its own, so that no task gets a whole bucket and no pair is missed. cross: only pairs of
-    different sides count, the others have a run of their own.
+    different sides count, the others have a run of their own. shared: leave out buckets of one row.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    dealt = df.join(large, keys, "left").withColumn("_b", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(item), parts)).cast("int"))
+    if shared:
+        joined = df.join(counts.where("_n > 1").withColumn("_n", F.when(F.col("_n") > block, F.col("_n"))), keys)
+    else:
+        joined = df.join(counts.where(F.col("_n") > block), keys, "left")
+    dealt = joined.withColumn("_b", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(item), parts)).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))))
     low, high = F.least("_b", "_o"), F.greatest("_b", "_o")
     return dealt.select(
