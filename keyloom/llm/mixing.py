@@ -39,7 +39,7 @@ def _running(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_s"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), _long(0))).drop("_s")
     inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), _long(0))
-    return df.withColumn("_in", inner).join(base, keys).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in")
+    return df.withColumn("_in", inner).join(base.hint("merge"), keys).withColumn(out, F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -75,7 +75,8 @@ def _blocks(targets: DataFrame, block: int) -> DataFrame:
     """source_key, block, length, place, whole, part: the blocks of each source in the order of their permutation.
 
     whole: how many times all of the block is taken; part: how many words of it are taken once more. The last block that
-    is taken is cut so that a source gives its target to the word.
+    is taken is cut so that a source gives its target to the word. Joins with what comes from here need a hint: the rows
+    are made from a few sources, so the planner takes them for few and would broadcast them all.
     """
     wanted = F.floor(F.col("target")).cast("long")
     sized = targets.where("source_size > 0").withColumns({"whole": F.floor(wanted / F.col("source_size")).cast("long"), "_n": F.ceil(F.col("source_size") / F.lit(block)).cast("long")})
@@ -135,7 +136,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets, _ = persisted(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     blocks = _blocks(targets, block)
     whole = F.floor(F.floor("target") / F.col("source_size")).cast("long")
-    parts = _pieces(rows, block).join(blocks.where("part > 0").select("source_key", "block", "part"), ["source_key", "block"], "left")
+    parts = _pieces(rows, block).join(blocks.where("part > 0").select("source_key", "block", "part").hint("merge"), ["source_key", "block"], "left")
     once = parts.groupBy("source_key", "start", "doc_id", "size").agg(F.sum(_once_more()).alias("once"))
     some = once.join(targets, "source_key").select("doc_id", "size", "source_size", "target", (whole * F.col("size") + F.col("once")).alias("taken"))
     none = rows.where("size = 0").join(targets, "source_key").select("doc_id", "size", "source_size", "target", _long(0).alias("taken"))
@@ -153,7 +154,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     targets, _ = persisted(source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     blocks = _blocks(targets, block)
     from_word = F.col("block") * block + F.col("at") - F.col("start")
-    parts = _pieces(rows, block).join(blocks.select("source_key", "block", "whole", "part"), ["source_key", "block"])
+    parts = _pieces(rows, block).join(blocks.select("source_key", "block", "whole", "part").hint("merge"), ["source_key", "block"])
     takes = parts.groupBy("source_key", "doc_id", "h", "start").agg(F.max("size").alias("_size"), F.max("whole").alias("_whole"), F.array_sort(F.collect_list(F.when(_once_more() > 0, F.struct(from_word.alias("at"), _once_more().alias("n"))))).alias("_once"))
     takes = takes.groupBy("source_key", "doc_id", "h").agg(F.collect_list(F.struct("_size", "_whole", "_once")).alias("_takes"))
     known = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
