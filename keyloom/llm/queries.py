@@ -15,6 +15,8 @@ from keyloom.llm.pii import BASE, find_personal_data
 from keyloom.llm.quality import held_out, score_documents, train
 from keyloom.llm.sharding import shard_documents
 from keyloom.llm.simhash import simhash_components
+from keyloom.llm.substring_dedup import repeated_passages
+from keyloom.llm.token_counts import count_tokens
 from keyloom.llm.token_store import read_tokens, write_tokens
 
 
@@ -24,6 +26,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), uri, tokenizer_path())
@@ -62,6 +70,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -123,10 +135,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_token_planes": op2_token_planes,
         "op3_embeddings": op3_embeddings,
         "op4_quality": op4_quality,
         "op5_decontamination": op5_decontamination,
+        "op6_repeated_passages": op6_repeated_passages,
         "op7_simhash": op7_simhash,
         "op8_personal_data": op8_personal_data,
         "op9_mixing": op9_mixing,
