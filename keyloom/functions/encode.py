@@ -194,7 +194,7 @@ def hash_values(columns: Sequence[tuple[Column, str]]) -> Column:
             h = _fold(_octets(c, {"bigint": 8, "int": 4, "smallint": 2, "tinyint": 1}[t]), h)
         else:
             text = F.hex(c.cast("string").cast("binary"))
-            octets = F.transform(F.sequence(F.lit(0), F.length(text) / F.lit(2) - 1).cast("array<int>"), lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))
+            octets = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(text, i, F.lit(2)), 16, 10).cast("bigint"))
             h = F.when(F.length(text) == 0, h).otherwise(F.aggregate(octets, h, lambda a, b: (a.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))))
         h = _fold([F.lit(0).cast("bigint")], h)
     return _signed(h)

@@ -38,13 +38,17 @@ def hash_set(df: DataFrame, table: CompiledTable, columns: Sequence[str], out: s
     for c in columns:
         values = F.array_distinct(F.col(c)) if table.columns[c].spec.is_collection else F.array(F.col(c))
         values = F.filter(F.coalesce(values, F.array().cast(f"array<{table.columns[c].spec.element}>")), lambda v: v.isNotNull())
-        items = F.flatten(F.transform(items, lambda p, values=values: F.transform(values, lambda v: F.concat(p, F.array(v.cast("bigint"))))))
+        items = _crossed(items, values)
     hashes = F.transform(items, lambda p: hash_tuple([F.element_at(p, k + 1) for k in range(len(columns))]))
     if any(table.columns[c].spec.is_collection for c in columns):
         return df.withColumn(out, F.array_sort(F.array_distinct(hashes)))
     return df.withColumn(out, F.coalesce(F.get(hashes, 0), F.lit(0)))
 
 
+def _crossed(items: Column, values: Column) -> Column:
+    return F.flatten(F.transform(items, lambda p: F.transform(values, lambda v: F.concat(p, F.array(v.cast("bigint"))))))
+
+
 def group_freshness(written: DataFrame, table: CompiledTable, columns: Sequence[str], version: str = VERSION, known: DataFrame | None = None) -> DataFrame:
     """part, the group's values, id (its hash) and upc: the greatest version written to each group. known: so far."""
     rows = with_hashes(written, table, columns, "id")
@@ -72,9 +76,10 @@ def query_group(query: Query, freshness: DataFrame, cached: Mapping[int, int] |
     asked = spark.createDataFrame([(h, list(v), (cached or {}).get(h)) for h, v in wanted.items()], "id int, values array<bigint>, claimed bigint")
     known = freshness.where(F.col("part") == F.lit(part_value)).groupBy("id").agg(F.max("upc").alias("upc"))
     split = known.join(F.broadcast(asked), "id").withColumn("fresh", F.coalesce(F.col("claimed") == F.col("upc"), F.lit(False)))  # the combinations of one query
-    rows = with_hashes(t.data.where(conjunction(query.preds)), t.compiled, names, "id")
+    rows = with_hashes(t.data.where(conjunction(query.preds)), t.compiled, names, "_group")
     own = [c for c in t.compiled.visible if c in t.data.columns]
-    changed = rows.join(F.broadcast(split.where("NOT fresh").select("id")), "id", "left_semi").dropDuplicates(["id", *[c for c in t.compiled.primary_key if c in rows.columns]])
-    records = changed.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("records"))
+    wanted_groups = F.broadcast(split.where("NOT fresh").select(F.col("id").alias("_group")))
+    changed = rows.join(wanted_groups, "_group", "left_semi").dropDuplicates(["_group", *[c for c in t.compiled.primary_key if c in rows.columns]])
+    records = changed.groupBy(F.col("_group").alias("id")).agg(F.collect_list(F.struct(*own)).alias("records"))
     empty = F.array().cast(records.schema["records"].dataType)
     return split.join(records, "id", "left").select("id", "values", "upc", F.coalesce("records", empty).alias("records")).orderBy("id")

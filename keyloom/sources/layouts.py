@@ -78,12 +78,16 @@ def bucket_hashes(df: DataFrame, table: CompiledTable, index: Index, out: str =
     for size in sorted(set(bucketed.buckets)):
         bucket = F.call_function("div", F.col(bucketed.name).cast("bigint"), F.lit(size).cast("bigint"))
         if others and table.columns[others[0]].spec.is_collection:
-            hashes.append(F.transform(others[0], lambda v, size=size, bucket=bucket: hash_tuple([F.lit(size), v, bucket])))
+            hashes.append(_per_element(others[0], size, bucket))
         else:
             hashes.append(F.array(hash_tuple([F.lit(size), *[F.col(k) for k in others], bucket])))
     return df.withColumn(out, F.array_sort(F.array_distinct(F.flatten(F.array(*hashes)))))
 
 
+def _per_element(column: str, size: int, bucket):
+    return F.transform(column, lambda v: hash_tuple([F.lit(size), v, bucket]))
+
+
 def bucket_filter(index: Index, low: int, high: int, others: dict[str, int], out: str = "zz_buckets"):
     """A condition on the bucket column that every row of [low, high] fulfils; None if no cover is close enough."""
     from keyloom.functions.encode import hash_tuple_value
