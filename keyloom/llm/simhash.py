@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import persisted
 from keyloom.llm.components import components
 from keyloom.llm.runs import Links, in_blocks, pairs, sorted_runs, whole_runs
+from keyloom.llm.substring_dedup import shingle_hashes, word_hashes
 
 SHINGLE, RADIUS, SEED, BLOCK = 4, 4, 42, 4096
 _AT_ONCE = 1 << 15
@@ -111,3 +112,98 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = simhash_components(docs, id_col, text_col, **options)
     gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
+# Similarity of 0.8 over five-word shingles ------------------------------------------------------------------------
+
+#: Near copies at a similarity of 0.8 differ in about ten bits of a whole text's fingerprint, so no radius that buckets
+#: can cover finds them. Fingerprints of samples do: the shingles are dealt by their hash to parts of about PART_SIZE,
+#: and of SAMPLES parts each one is left untouched by the differing shingles with a probability of 0.4 or more.
+SIMILARITY, SIMILAR_SHINGLE, PART_SIZE, SAMPLES, PIVOTS = 0.8, 5, 4, 24, 4
+
+
+def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of fewer words, that of the whole sequence."""
+    words = word_hashes(text)
+    return np.unique(shingle_hashes(words, min(shingle, len(words)) or 1))
+
+
+def sample_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int = PART_SIZE, samples: int = SAMPLES) -> np.ndarray:
+    """Keys of the SimHashes of samples of a text's shingles; texts of neighbouring sizes share the number of parts."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(1, np.int64)
+    out = []
+    for parts in {1 << int(x / (size if n >= 16 * size else 2)).bit_length() for x in (n * similarity, n, n / similarity)}:
+        part = (tokens >> np.uint64(40)) % np.uint64(parts)
+        some = part < samples
+        part, own = part[some].astype(np.int64), tokens[some]
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+        ones, total = np.zeros((min(parts, samples), 64), np.int64), np.bincount(part, minlength=min(parts, samples))
+        np.add.at(ones, part, bits)
+        prints = np.packbits(2 * ones > total[:, None], axis=1).view(np.uint64).ravel()[total > 0]
+        out.append((prints ^ np.uint64(parts)) * np.uint64(0x9E3779B97F4A7C15) + np.flatnonzero(total > 0).astype(np.uint64))
+    return np.concatenate(out).view(np.int64)
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id_col, component: each row of docs and the smallest id that links of similar texts reach.
+
+    Texts are candidates if the SimHashes of a sample of their shingles are equal, and linked if the Jaccard similarity of
+    their shingles is at least `similarity`. Equal texts are one class. A text is compared with the pivots of its buckets:
+    those that share most buckets with others, which in a group of copies is what they are copies of; so very large
+    groups take work in proportion to their size. Null and empty texts are alike; null ids and repeated rows stay, as in
+    simhash_components. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies that one task meets are sampled once
+        for batch in batches:
+            ts, ks = [], []
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if t not in seen:
+                    seen.add(t)
+                    own = sample_keys(shingle_set(text.as_py(), shingle), similarity)
+                    ts.append(np.full(len(own), t))
+                    ks.append(own)
+            if ts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], ["t", "key"])
+
+    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint").distinct(), "samples")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared, _ = persisted(found.join(sizes.hint("merge"), "key"), "shared")
+    degree = shared.groupBy("t").agg(F.sum(F.log2("n")).alias("degree"))
+    central = shared.join(degree.hint("merge"), "t").groupBy("key").agg(F.max(F.struct("degree", "t")).alias("a"), F.min("t").alias("b"))
+    pivots = central.select("key", F.explode(F.array_distinct(F.array("a.t", "b"))).alias("o"))
+    votes = shared.join(pivots.hint("merge"), "key").where("t <> o").groupBy("t", "o").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "o")), False).alias("os"))  # at most two of each of a text's few keys
+    tried, _ = persisted(best.select("t", F.explode(F.slice("os", 1, PIVOTS)).alias("w")).select(F.least("t", "w.o").alias("x"), F.greatest("t", "w.o").alias("y")).distinct(), "pairs")
+    needed = tried.select(F.col("x").alias("t")).union(tried.select(F.col("y").alias("t"))).distinct()
+
+    texts, _ = persisted(rows.join(needed.hint("merge"), "t").groupBy("t").agg(F.min("text").alias("text")).select("t", F.col("text").cast("binary").alias("b")), "texts")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    first, second = texts.select(F.col("t").alias("x"), F.col("b").alias("xb")), texts.select(F.col("t").alias("y"), F.col("b").alias("yb"))
+    compared = tried.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "xb", "yb")
+    joined = components(compared.mapInArrow(compare, "a bigint, b bigint"))
+    members, _ = persisted(rows.select("id", "t"), "members")
+    classes = members.groupBy("t").agg(F.min("id").alias("least")).join(joined.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    named = classes.groupBy("root").agg(F.min("least").alias("component"))
+    return members.join(classes.join(named, "root").select("t", "component"), "t").select(F.col("id").alias(id_col), "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of similar texts, that of the smallest id; rows without an id stay."""
+    found = similar_components(docs, id_col, text_col, **options)
+    gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.simhash import drop_near_duplicates, fingerprint, masks, simhash_components
+from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, similar_components, simhash_components
 
 SCHEMA = "doc_id bigint, text string, fp string, component int"
 
@@ -85,3 +85,47 @@ def test_long_text_uses_every_shingle():
     words = [f"w{i}" for i in range(70000)]
     assert fingerprint(" ".join(words).encode()) % 2**64 == brute_print(" ".join(words))
     assert isinstance(np.int64(fingerprint(b"x")), np.int64)
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_find_what_they_are_copies_of(spark):
+    rng = random.Random(8)
+    rows, group = [], {}
+    for k, (n, copies) in enumerate([(30, 2), (60, 4), (90, 3), (250, 6), (250, 60), (900, 5), (3000, 3)]):
+        base = [f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(n)]
+        for c in range(copies + 1):
+            words = list(base)
+            for at in rng.sample(range(n), 0 if not c else max(1, n // 70)):
+                words[at] = f"new{c}x{at}"
+            group[len(rows)] = k
+            rows.append((len(rows), " ".join(words).upper() if c == 1 else " ".join(words), "x", 1))
+    for _ in range(80):
+        group[len(rows)] = -len(rows)
+        rows.append((len(rows), " ".join(f"z{rng.randrange(9000)}" for _ in range(rng.randrange(1, 200))), "x", 1))
+    rows += [(1000, "", None, None), (1001, None, None, None), (1002, " ", None, None), (1003, rows[0][1], None, None), (None, rows[0][1], None, None)]
+    got = {r.doc_id: r.component for r in similar_components(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    sets = [five_words(r[1] or "") for r in rows]
+    for a in group:
+        for b in group:
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                assert group[a] == group[b]
+            if group[a] != group[b]:
+                assert got[a] != got[b]
+    first = {k: min(i for i in group if group[i] == k) for k in set(group.values())}
+    linked = [i for i in group if jaccard(sets[i], sets[first[group[i]]]) >= 0.8]
+    assert sum(got[i] == first[group[i]] for i in linked) >= 0.99 * len(linked) and len(linked) > 160
+    assert got[1001] == got[1002] == 1000 and got[1003] == got[None] == 0
+    kept = {r.doc_id for r in drop_similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {i for i in got if i is None or got[i] == i}
+
+
+def test_similar_texts_of_an_empty_table(spark):
+    assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
