@@ -289,3 +289,18 @@ def test_stream_keeps_a_snapshot(spark, tmp_path):
     version = store.version
     upsert_batch(schema, store, "at")(spark.createDataFrame([(1, 9, 9)], "k bigint, v int, at bigint"), 0)
     assert store.version == version
+
+
+def test_packed_and_concatenated_keys_only_prune(spark):
+    from keyloom.functions.encode import concat_key, pack
+    from keyloom.plans.planner import key_bounds
+
+    parts = [(a, b) for a in (1, 9, 70) for b in (0, 5, 63, 4000)]
+    base = spark.createDataFrame([(7, a, b) for a, b in parts], "tenant int, a bigint, b bigint")
+    packed = TableSchema("p", (Col("tenant", "int32"), Col("id"), Col("a"), Col("b")), keys=("id",), partition="tenant", int_packing=(Col("a").decimal_size(4), Col("b")), managed=False)
+    text = TableSchema("c", (Col("tenant", "int32"), Col("id", "string"), Col("a"), Col("b")), keys=("id",), partition="tenant", concat=("a", "b"), managed=False)
+    tables = [Table(packed, base.withColumn("id", pack([F.col("a"), F.col("b")], [4, 14]))), Table(text, base.withColumn("id", concat_key([(F.col("a"), "bigint"), (F.col("b"), "bigint")])))]
+    for t in tables:
+        for q, want in ((lambda q: q.eq("a", 9), 4), (lambda q: q.eq("a", 9).ge("b", 63), 2), (lambda q: q.eq("a", 70).eq("b", 0), 1), (lambda q: q.gt("a", 1), 8), (lambda q: q.isin("a", [1, 9]).lt("b", 6), 4)):
+            assert q(t.query()).df().count() == want
+        assert [p.column for p in key_bounds(t.compiled, t.query().eq("a", 9).preds)] == ["id"]
