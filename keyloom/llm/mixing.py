@@ -162,7 +162,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(own.alias("_own"), known.alias("source_key"), F.coalesce(F.col(id_col).cast("long"), _long(-1)).alias("_id"), F.xxhash64(F.col(text_col)).alias("h"))
     one = keyed.groupBy("source_key", "_id", "h").agg(F.min("_own").alias("_own"))
     ids = takes.withColumn("_id", F.coalesce(F.col("doc_id"), _long(-1)))
-    joined = one.join(ids, ["source_key", "_id", "h"]).withColumn("_take", F.explode("_takes"))
+    joined = one.join(ids.hint("merge"), ["source_key", "_id", "h"]).withColumn("_take", F.explode("_takes"))
     turned = joined.withColumn("_turn", F.explode(F.sequence(_long(0), F.col("_take._whole"))))
     text = F.col(f"_own.`{text_col}`")
     every = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
