@@ -15,7 +15,9 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.llm.common import small_batches
+
 MAGIC, TAIL = b"KLPLANE1", struct.Struct("<QQ8s")
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 2
 _DOUBLE_SPACE = re.compile(r"\s\s")
-#: Characters encoded at once, and words that an encoder remembers.
-_AT_ONCE, _REMEMBER = 2_000_000, 400_000
+#: Characters encoded at once, texts given to the library at once, and words that an encoder remembers: all of those that
+#: came first, which are the frequent ones, and of the later ones a number that is cleared now and then.
+_AT_ONCE, _BATCH, _FIRST, _REMEMBER = 1_000_000, 2000, 600_000, 1_500_000
 
 
 class Encoder:
@@ -49,25 +54,37 @@ class Encoder:
         self.by_word = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and not about.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in about.get("added_tokens", []))
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), _BATCH):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + _BATCH], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         plain = [not self.by_word or bool(_DOUBLE_SPACE.search(t)) for t in texts]
-        whole = iter(self._encode([t for t, p in zip(texts, plain, strict=True) if p]))
+        whole = self._encode([t for t, p in zip(texts, plain, strict=True) if p])
         words: list[list[str]] = []
         for t, p in zip(texts, plain, strict=True):
             first, *rest = t.split(" ") if t and not p else [""]
             words.append([*([first] if first else []), *[" " + w for w in rest]])
         if len(self.known) > _REMEMBER:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), _FIRST))
         known = self.known
         new = list({w for ws in words for w in ws if w not in known})
         known.update(zip(new, self._encode(new), strict=True))
         return [next(whole) if p else b"".join(map(known.__getitem__, ws)) for p, ws in zip(plain, words, strict=True)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process, so that tasks that a worker runs in turn share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if not bits:
@@ -166,7 +183,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_path: str, id_col: str = "
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_of(tokenizer_path)
                 files, root = _open(uri)
                 files.create_dir(root, recursive=True)
                 name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.planes"
@@ -186,7 +203,8 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer_path: str, id_col: str = "
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     parts = dealt.mapInArrow(run, "part int, file string, bytes bigint, n_docs bigint, n_ids bigint")
-    parts.write.mode("overwrite").parquet(f"{uri}/manifest")
+    with small_batches(spark):
+        parts.write.mode("overwrite").parquet(f"{uri}/manifest")
     return manifest(spark, uri)
 
 
