@@ -147,16 +147,17 @@ class Index:
         rows = self.row[terms[known]]
         rare = rows >= 0
         at, rows = known[rare], rows[rare]
-        if not len(at):
+        if not len(at) and (self.common < 1 - EPS).all():
             return
         first = np.cumsum([0, *[max(1, -(-n // self.cell)) for n in lengths]])
         begin = np.cumsum([0, *lengths])
-        text = np.searchsorted(begin, at, "right") - 1
-        cell = first[text] + (at - begin[text]) // self.cell
-        cell, row = np.divmod(np.unique(cell * len(self.columns) + rows), len(self.columns))
-        heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         sums = np.zeros((first[-1] + 3, self.columns.shape[1]))
-        sums[cell[heads]] = np.add.reduceat(self.columns[row], heads, axis=0)
+        if len(at):
+            text = np.searchsorted(begin, at, "right") - 1
+            cell = first[text] + (at - begin[text]) // self.cell
+            cell, row = np.divmod(np.unique(cell * len(self.columns) + rows), len(self.columns))
+            heads = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sums[cell[heads]] = np.add.reduceat(self.columns[row], heads, axis=0)
         bounds = sums[:-3] + sums[1:-2] + sums[2:-1] + sums[3:]  # the last cells of a text also see the next text's: a bound still
         for k in np.flatnonzero((bounds + self.common >= 1 - EPS).any(axis=1)):
             i = int(np.searchsorted(first, k, "right")) - 1

@@ -64,6 +64,20 @@ def test_search_matches_comparing_every_item_with_every_text():
             assert score > 0.99 and (whole >= 0.8 or min(question, answer) >= 0.8), item_id
 
 
+def test_items_without_rare_terms_are_found():
+    rng = random.Random(6)
+    text = sentence(rng, 20)
+    items, idf, mean = index_of([text] * 4 + [sentence(rng, 300)])
+    for item in items[:4]:
+        assert not set(item.words) - set(items[0].words)
+    searcher = Searcher(items, idf, mean)
+    assert any((index.row < 0).all() for index in searcher.indexes)
+    other = words_of(" ".join(f"x{k}" for k in range(90)))
+    hits = searcher.search([other, other + words_of(text) + other])
+    assert [{h[0] for h in x} for x in hits] == [set(), {0, 1, 2, 3}]
+    assert [{h[0] for h in x} for x in searcher.search([words_of(text)])] == [{0, 1, 2, 3}]
+
+
 def test_question_and_answer():
     assert question_and_answer("What is it? One two.\nThe answer.") == (words_of("What is it One two"), words_of("The answer"))
     assert question_and_answer("Only one sentence.") == (words_of("Only one sentence"), [])
