@@ -150,9 +150,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id_col, component: each row of docs and the smallest id that links of similar texts reach.
 
     Texts are candidates if the SimHashes of a sample of their shingles are equal, and linked if the Jaccard similarity of
-    their shingles is at least `similarity`. Equal texts are one class. A text is compared with the pivots of its buckets:
-    those that share most buckets with others, which in a group of copies is what they are copies of; so very large
-    groups take work in proportion to their size. Null and empty texts are alike; null ids and repeated rows stay, as in
+    their shingles is at least `similarity`. Equal texts are one class. A text is first compared with the pivots of its
+    buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then all
+    pairs of a bucket that these links have not joined are compared, in blocks, so no candidate is dropped. Null and empty texts are alike; null ids and repeated rows stay, as in
     simhash_components. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -179,10 +179,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     votes = shared.join(pivots.hint("merge"), "key").where("t <> o").groupBy("t", "o").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "o")), False).alias("os"))  # at most two of each of a text's few keys
     tried, _ = persisted(best.select("t", F.explode(F.slice("os", 1, PIVOTS)).alias("w")).select(F.least("t", "w.o").alias("x"), F.greatest("t", "w.o").alias("y")).distinct(), "pairs")
-    needed = tried.select(F.col("x").alias("t")).union(tried.select(F.col("y").alias("t"))).distinct()
-
-    texts, _ = persisted(rows.join(needed.hint("merge"), "t").groupBy("t").agg(F.min("text").alias("text")).select("t", F.col("text").cast("binary").alias("b")), "texts")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -193,9 +189,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    first, second = texts.select(F.col("t").alias("x"), F.col("b").alias("xb")), texts.select(F.col("t").alias("y"), F.col("b").alias("yb"))
-    compared = tried.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "xb", "yb")
-    joined = components(compared.mapInArrow(compare, "a bigint, b bigint"))
+    def compared(tried: DataFrame) -> DataFrame:
+        needed = tried.select(F.col("x").alias("t")).union(tried.select(F.col("y").alias("t"))).distinct()
+        texts, _ = persisted(rows.join(needed.hint("merge"), "t").groupBy("t").agg(F.min("text").alias("text")).select("t", F.col("text").cast("binary").alias("b")), "texts")
+        first, second = texts.select(F.col("t").alias("x"), F.col("b").alias("xb")), texts.select(F.col("t").alias("y"), F.col("b").alias("yb"))
+        both = tried.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "xb", "yb")
+        return persisted(both.mapInArrow(compare, "a bigint, b bigint"), "similar")[0]
+
+    by_pivots = compared(tried)
+    roots = components(by_pivots)
+    marked = shared.select("t", "key").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+    dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "root", "run", "side", "cross")
+
+    def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_runs(batches):
+            t, root = held["t"].to_numpy(), held["root"].to_numpy()
+            for i, j in pairs(held):
+                some = root[i] != root[j]
+                x, y = t[i[some]], t[j[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    rest, _ = persisted(sorted_runs(dealt).mapInArrow(unlinked, "x bigint, y bigint").distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
+    joined = components(by_pivots.unionByName(compared(rest)))
     members, _ = persisted(rows.select("id", "t"), "members")
     classes = members.groupBy("t").agg(F.min("id").alias("least")).join(joined.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     named = classes.groupBy("root").agg(F.min("least").alias("component"))

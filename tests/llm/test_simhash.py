@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, similar_components, simhash_components
+from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, sample_keys, shingle_set, similar_components, simhash_components
 
 SCHEMA = "doc_id bigint, text string, fp string, component int"
 
@@ -127,5 +127,23 @@ def test_similar_texts_find_what_they_are_copies_of(spark):
     assert kept == {i for i in got if i is None or got[i] == i}
 
 
+def test_variants_of_a_template_that_is_not_in_the_table(spark):
+    rng = random.Random(17)
+    base = [f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(250)]
+    edits = [rng.sample(range(250), rng.randint(2, 4)) for _ in range(150)]  # each has its own edits, so pairs scatter about 0.8
+    rows = []
+    for k, places in enumerate(edits):
+        words = list(base)
+        for at in places:
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words), "x", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.component for r in similar_components(df).collect()}
+    sets = [five_words(r[1]) for r in rows]
+    keys = [set(sample_keys(shingle_set(r[1].encode())).tolist()) for r in rows]
+    linked = [(a, b) for a in range(150) for b in range(a) if keys[a] & keys[b] and jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(linked) > 100 and all(got[a] == got[b] for a, b in linked)
+
+
 def test_similar_texts_of_an_empty_table(spark):
     assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
