@@ -130,7 +130,7 @@ def test_similar_texts_find_what_they_are_copies_of(spark):
 def test_variants_of_a_template_that_is_not_in_the_table(spark):
     rng = random.Random(17)
     base = [f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(250)]
-    edits = [rng.sample(range(250), rng.randint(2, 4)) for _ in range(150)]  # each has its own edits, so pairs scatter about 0.8
+    edits = [rng.sample(range(250), rng.randint(3, 4)) for _ in range(150)]  # each has its own edits, so pairs scatter about 0.8
     rows = []
     for k, places in enumerate(edits):
         words = list(base)
