@@ -82,7 +82,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
             fp, at = np.unique(rows["fp"].to_numpy(), return_inverse=True)
             links = Links(len(fp))
             for i, j in pairs(rows):
-                near = np.bitwise_count(fp[at[i]] ^ fp[at[j]]) <= radius
+                near = np.bitwise_count((fp[at[i]] ^ fp[at[j]]).view(np.uint64)) <= radius  # of signed numbers it counts the bits of the absolute value
                 links.add(at[i[near]], at[j[near]])
             root = links.roots(np.arange(len(fp)))
             own = root != np.arange(len(fp))

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm.components import components
-from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, sample_keys, shingle_set, similar_components, simhash_components
+from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, near_links, sample_keys, shingle_set, similar_components, simhash_components
 
 SCHEMA = "doc_id bigint, text string, fp string, component int"
 
@@ -64,6 +64,19 @@ def test_components_match_all_pairs(spark):
     assert got == brute_components({i: brute_print(t or "") for i, t in enumerate(texts)})
 
 
+def test_links_see_every_bit(spark):
+    rng, prints = random.Random(6), []
+    for bit in range(64):
+        one = rng.getrandbits(64)
+        others = rng.sample([b for b in range(64) if b != bit], 3)
+        prints += [one, one ^ 1 << bit, one ^ 1 << bit ^ sum(1 << b for b in others), one ^ sum(1 << b for b in rng.sample(range(64), 6))]
+    signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
+    name = brute_components({s: p for p, s in signed.items()})
+    links = near_links(spark.createDataFrame([(s,) for s in signed.values()], "fp bigint"), block=7)
+    got = {r.node: r.root for r in components(links).collect()}
+    assert {s: got.get(s, s) for s in name} == name
+
+
 def test_edge_cases(spark):
     assert simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(5, "a b c d e", None, None), (5, "a b c d e", None, None), (None, "a b c d e", None, None), (3, "A B C D E", None, None), (None, None, None, None)], SCHEMA)
