@@ -1,26 +1,49 @@
 import io
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from keyloom.llm import token_store
 from keyloom.llm.common import scratch
 from keyloom.llm.token_store import Encoder, FileWriter, from_planes, read_chunk, read_index, read_tokens, to_planes, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", "Hello world", " leading", "trailing ", "two  spaces", "a\nb\n\nc \t d", "don't we'll <|endoftext|> end", "Ünïcödé 日本語  x", "x" * 5000, "word " * 3000, "\n", " ", "a \n b"]
+TEXTS = ["", "Hello world", "l'été naïve: don't,we'LL 12a3 ½x. (a)\n\tb", " 's 'tis it''s", "a\u00a0b c\u00add\x1fe", "x<|endoftext|>y <|endoftext|>", "Straße\n„q“ \u0301e ǅ ‿ ٣", " leading", "trailing ", "two  spaces", "a\nb\n\nc \t d", "don't we'll <|endoftext|> end", "Ünïcödé 日本語  x", "x" * 5000, "word " * 3000, "\n", " ", "a \n b"]
 SCHEMA = "doc_id bigint, text string, start int, ids string"
 
 
+def plain_ids(texts):
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_equals_library():
-    plain = Tokenizer.from_file(PATH)
-    want = [e.ids for e in plain.encode_batch(TEXTS, add_special_tokens=False)]
     encoder = Encoder(PATH)
-    assert encoder.by_word
+    assert encoder.by_word and encoder.by_part
     for _ in range(2):  # with an empty and a filled memory
-        assert [np.frombuffer(b, np.uint32).tolist() for b in encoder.encode(TEXTS)] == want
+        assert encoder.encode(pa.array(TEXTS)).to_pylist() == plain_ids(TEXTS)
+
+
+def test_encoder_equals_library_on_signs_in_any_order_and_forgets(monkeypatch):
+    rng, signs = random.Random(4), " \n\t'.,ab1Zé½ß-_²\u00a0\u00ad日<|"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) + " " + "".join(rng.choice("abcé'1") for _ in range(6)) for _ in range(3000)]
+    monkeypatch.setattr(token_store, "_REMEMBER", 20_000)
+    encoder = Encoder(PATH)
+    for at in range(0, len(texts), 500):
+        assert encoder.encode(pa.array(texts[at : at + 500])).to_pylist() == plain_ids(texts[at : at + 500])
+        assert encoder.words.nbytes + encoder.ids.nbytes <= 20_000
+
+
+def test_texts_are_dealt_by_bytes():
+    texts = ["a" * 40, "", "b" * 500, "c" * 30, "d" * 30, "e" * 30, "é" * 20]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + n)), pa.array(texts[k : k + n], pa.string())], ["id", "text"]) for k, n in ((0, 4), (4, 0), (4, 3))]
+    dealt = [(i.to_pylist(), t.to_pylist()) for i, t in token_store._by_bytes(iter(batches), 100)]
+    assert sum((i for i, _ in dealt), []) == list(range(7)) and sum((t for _, t in dealt), []) == texts
+    assert [i for i, _ in dealt] == [[0, 1], [2], [3, 4, 5], [6]]
 
 
 @pytest.mark.parametrize("bits", [False, True])
@@ -41,7 +64,7 @@ def test_chunks_are_read_on_their_own():
     writer = FileWriter(out, 100, False, 3)
     docs = [np.arange(k * 7, dtype=np.uint32) for k in range(20)]
     for k, ids in enumerate(docs):
-        writer.add(k, ids)
+        writer.add([k], np.array([len(ids)]), ids)
     size = writer.close()
     index = read_index(out, size)
     every = np.concatenate(docs)
