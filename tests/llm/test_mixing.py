@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from keyloom.llm.mixing import mix_counts, mixed_documents, mixture_slots
+from keyloom.llm.mixing import drawn_slots, mix_counts, mixed_documents, mixture_slots, settled_slots
 from keyloom.llm.queries import OP9_SQL
 
 SCHEMA = "doc_id bigint, text string, source string, size string"
@@ -66,8 +66,31 @@ def test_sql_gives_the_same(spark):
     got = mix_counts(spark.createDataFrame(rows, SCHEMA)).toPandas()
     documents = spark.createDataFrame(rows, SCHEMA).toPandas().astype({"doc_id": "Int64"})  # noqa: F841
     want = duckdb.sql(OP9_SQL).df()
-    key = lambda df: Counter(tuple(None if x != x or x is None else float(x) for x in r) for r in df[["doc_id", "size", "source_size", "target", "taken"]].astype("float64").itertuples(index=False))
-    assert {k[1:]: v for k, v in key(got).items()}.keys() == {k[1:]: v for k, v in key(want).items()}.keys()
+    key = lambda df: sorted(tuple(-1.0 if x != x or x is None else round(float(x), 6) for x in r) for r in df[["doc_id", "size", "source_size", "target", "taken"]].astype("float64").itertuples(index=False))
+    assert key(got) == key(want) and len(got) == len(rows)
+
+
+def test_draws_follow_the_multinomial_and_totals_are_settled(spark):
+    quotas = {"a": 6000, "b": 2500, "c": 1400, "d": 90, "e": 10}
+    table = spark.createDataFrame(list(quotas.items()), "source_key string, quota bigint")
+    per, total = 100, sum(quotas.values())
+    drawn = drawn_slots(table, per).toPandas()
+    assert sorted(drawn["slot"]) == list(range(total)) and (drawn["shard"] == drawn["slot"] // per).all()
+    counts = drawn.groupby(["shard", "source_key"]).size().unstack(fill_value=0)
+    for s, quota in quotas.items():  # a shard's count of a source has the binomial's mean and variance
+        p = quota / total
+        assert abs(counts[s].mean() - per * p) < 4 * (per * p * (1 - p) / len(counts)) ** 0.5
+        assert 0.55 < counts[s].var() / (per * p * (1 - p)) < 1.6
+    together = counts["a"].cov(counts["b"]) / -(per * 0.6 * 0.25)  # and two sources the multinomial's covariance
+    assert 0.5 < together < 1.6
+    settled = settled_slots(drawn_slots(table, per), table).toPandas()
+    assert sorted(settled["slot"]) == list(range(total))
+    for s, quota in quotas.items():
+        assert sorted(settled.loc[settled["source_key"] == s, "k"]) == list(range(quota))
+    both = drawn.merge(settled, on="slot")
+    assert (both["source_key_x"] != both["source_key_y"]).sum() == sum(max(0, n - quotas[s]) for s, n in drawn["source_key"].value_counts().items())
+    other = drawn_slots(table, per, seed=1).toPandas().sort_values("slot")
+    assert (other["source_key"].values != drawn.sort_values("slot")["source_key"].values).mean() > 0.3
 
 
 @pytest.mark.parametrize("block", [7, 256])
@@ -87,7 +110,11 @@ def test_documents_and_slots_agree_with_counts(spark, block):
     slots = mixture_slots(df, block=block, shard_slots=50).collect()
     assert sum(r.words for r in slots) == sum(counts.values())
     per_shard = Counter(r.shard for r in slots)
-    assert max(per_shard.values()) <= 50 + 6 and min(per_shard) == 0
+    assert max(per_shard.values()) == min(50, len(slots)) and sorted(r.slot for r in slots) == list(range(len(slots)))
+    turns = defaultdict(list)
+    for r in slots:
+        turns[r.source_key, r.block].append(r.turn)
+    assert all(sorted(t) == list(range(len(t))) for t in turns.values())
 
 
 def test_edge_cases(spark):
@@ -98,3 +125,18 @@ def test_edge_cases(spark):
     assert mixed_documents(nothing).count() == 0
     twice = spark.createDataFrame([(1, "a b c", "s", "x")] * 3, SCHEMA)
     assert sum(len(words(r.text)) for r in mixed_documents(twice).collect()) == sum(r.taken for r in mix_counts(twice).collect()) == 13
+
+
+def test_rows_that_share_an_id_or_repeat_keep_their_columns(spark):
+    rows = [(1, "a b c d", "s", "en", {"k": 1}), (1, "a b c d", "s", "de", {"k": 2}), (1, "x y", "s", "fr", None), (None, "p q r", "s", "it", {}), (None, "p q r", "s", "it", {})]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row string, own map<string, int>")
+    out = mixed_documents(df, block=2).collect()
+    assert {r.row for r in out} == {"en", "de", "fr", "it"}
+    for r in out:
+        assert any(r.doc_id == x[0] and r.row == x[3] and r.own == x[4] and iter_in(words(r.text), words(x[1])) for x in rows)
+    assert Counter(len(words(r.text)) for r in out) and sum(len(words(r.text)) for r in out) == 24
+
+
+def iter_in(some, every):
+    left = iter(every)
+    return all(w in left for w in some)
