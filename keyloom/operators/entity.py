@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.encode import composite_key, ordered64, ordered64_value
-from keyloom.operators.write import autoincrement
+from keyloom.operators.write import autoincrement, last_of
 from keyloom.plans.predicates import Pred, QueryError, conjunction
 from keyloom.plans.schema import Col, SchemaError
 
@@ -121,13 +121,15 @@ class Entity:
         keys = self._keys()
         return self.data.where(conjunction([Pred(k, "=", (v,)) for k, v in zip(keys, values, strict=True)])).limit(1)
 
-    def put(self, rows: DataFrame, starts: DataFrame | None = None, order: Sequence[str] = ()) -> Entity:
-        """The entity with rows put in by key; ids that are 0 are drawn from the sequence."""
+    def put(self, rows: DataFrame, starts: DataFrame | None = None, order: Sequence[str] = (), last: str | None = None) -> Entity:
+        """The entity with rows put in by key; ids that are 0 are drawn from the sequence. Of rows that repeat a key the one
+        that is last by the column `last` counts; without it they must be equal."""
         if self.schema.autoincrement:
             column = self.schema.partition[-1].name
             rest = [c.name for c in self.schema.partition[:-1]]
             rows = autoincrement(rows, column, rest, list(order) or [c for c in rows.columns if c != column], starts, self.schema.padding)
         keys = self._keys()
+        rows = last_of(rows, keys, last)
         kept = self.data.join(rows.select(*keys), keys, "left_anti")
         return replace(self, data=kept.select(*self.data.columns).unionByName(rows.select(*[c for c in rows.columns if c in self.data.columns]), allowMissingColumns=True))
 
@@ -227,12 +229,41 @@ class EntityQuery:
                 break
         return Plan(source[0], tuple(bound), tuple(p for p in self.preds if p not in bound))
 
+    def key_preds(self) -> list[Pred]:
+        """Predicates on the stored keys (pk or a secondary slot, and sk) that the plan's bound ones imply."""
+        s, plan = self.entity.schema, self.plan()
+        equal = {p.column: p.values[0] for p in plan.bound if p.op == "="}
+        keys = s.partition if plan.source == "base" else s.secondary[plan.source]
+        out = [Pred("pk" if plan.source == "base" else plan.source, "=", (f"{s.name}#{key_value(s, keys, [equal[c.name] for c in keys])}",))]
+        prefix: list[str] = []
+        for c in s.sort:
+            own = [p for p in plan.bound if p.column == c.name]
+            if c.name in equal:
+                prefix.append(key_value(s, [c], [equal[c.name]]))
+                continue
+            if c.width and own:  # digits of fixed width compare as the numbers do
+                low = max([p.values[0] + (p.op == ">") for p in own if p.op in (">", ">=", "BETWEEN")], default=None)
+                high = min([p.values[-1] - (p.op == "<") for p in own if p.op in ("<", "<=", "BETWEEN")], default=None)
+                if low is not None and low > 0:
+                    out.append(Pred("sk", ">=", ("#".join([*prefix, key_value(s, [c], [low])]),)))
+                if high is not None and high >= 0:
+                    out.append(Pred("sk", "<", ("#".join([*prefix, key_value(s, [c], [high])]) + "$",)))  # the sign after #
+            elif own and own[0].op == "BEGINS_WITH":
+                out.append(Pred("sk", "BEGINS_WITH", ("#".join([*prefix, own[0].values[0]]),)))
+                prefix = []
+            break
+        if prefix:
+            whole = "#".join(prefix)
+            out.append(Pred("sk", "=", (whole,)) if len(prefix) == len(s.sort) else Pred("sk", "BEGINS_WITH", (whole + "#",)))
+        return out
+
     def df(self) -> DataFrame:
-        self.plan()
-        out = self.entity.data.where(conjunction(self.preds))
-        if self.descending or self.most is not None:
-            order = [c.name for c in self.entity.schema.sort]
-            out = out.orderBy(*[F.col(c).desc() if self.descending else F.col(c) for c in order]) if order else out
+        """The rows in the order of the sort key. Where the data have the stored keys, their ranges reach the scan too."""
+        plan, data = self.plan(), self.entity.data
+        stored = [p for p in self.key_preds() if p.column in data.columns] if {"pk", "sk"} & set(data.columns) else []
+        out = data.where(conjunction([*plan.bound, *plan.residual, *stored]))
+        if order := [c.name for c in self.entity.schema.sort]:
+            out = out.orderBy(*[F.col(c).desc() if self.descending else F.col(c) for c in order])
         return out if self.most is None else out.limit(self.most)
 
     def first(self) -> DataFrame:

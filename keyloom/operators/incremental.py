@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keyloom.functions.encode import slot_of, stored_version
 from keyloom.operators.query import Table
+from keyloom.operators.write import version_guard
 from keyloom.plans.predicates import Pred, QueryError
 from keyloom.plans.schema import VERSION, CompiledTable, SchemaError
 
@@ -34,12 +34,6 @@ def delta_column(table: CompiledTable, preds: Sequence[Pred]) -> str:
     return best.pop()
 
 
-def version_guard(df: DataFrame, digits: int) -> DataFrame:
-    """df; a version that its slot cannot hold raises."""
-    over = F.col(VERSION) > F.lit(10**digits - 1)
-    return df.withColumn(VERSION, F.when(over, F.raise_error(F.lit("the version does not fit into its slot")).cast("bigint")).otherwise(F.col(VERSION)))
-
-
 def slot_versions(written: DataFrame, partition: str, key: str, version: str = VERSION, known: DataFrame | None = None) -> DataFrame:
     """part, slot, ver: the greatest version written to each of 256 slots of ids, in 16 bits; known: slots so far."""
     new = written.groupBy(F.col(partition).alias("part"), slot_of(F.col(key)).alias("slot")).agg(F.max(version).alias("v")).select("part", "slot", stored_version(F.col("v")).alias("ver"))
@@ -48,27 +42,32 @@ def slot_versions(written: DataFrame, partition: str, key: str, version: str = V
     return known.join(new, ["part", "slot"], "left_anti").select("part", "slot", "ver").unionByName(new)
 
 
-def ids_to_fetch(claims: DataFrame, slots: DataFrame) -> DataFrame:
-    """part, id, ver: the claims (part, id, ver; the last given one of an id counts) that are unknown or out of date."""
-    order = Window.partitionBy("part", "id").orderBy(F.col("_at").desc())
-    last = claims.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+def ids_to_fetch(claims: DataFrame, slots: DataFrame, order: str | None = None) -> DataFrame:
+    """part, id, ver: the claims (part, id, ver) that are unknown or out of date.
+
+    Of claims that repeat an id the last in the order column counts; without one, the least version claimed, which never
+    takes an old record for a fresh one.
+    """
+    version = F.coalesce("ver", F.lit(0))
+    last = claims.groupBy("part", "id").agg((F.max_by(version, order) if order else F.min(version)).alias("ver"))
     both = last.withColumn("slot", slot_of(F.col("id"))).join(slots.select("part", "slot", F.col("ver").alias("server")), ["part", "slot"], "left")
     server = F.coalesce("server", F.lit(0))
     return both.where((server == 0) | (F.coalesce("ver", F.lit(0)) != server)).select("part", "id", server.cast("int").alias("ver"))
 
 
-def cached_ids(table: Table, claims: DataFrame, slots: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """The rows of the claims that are out of date, with their slot's version as updated_version."""
+def cached_ids(table: Table, claims: DataFrame, slots: DataFrame, columns: Sequence[str] = (), order: str | None = None, sort: bool = False) -> DataFrame:
+    """The rows of the claims that are out of date, with their slot's version as updated_version; sort: by partition and id."""
     s = table.schema
     if not s.save_version:
         raise SchemaError(f"table {s.name} saves no versions")
-    fetch = ids_to_fetch(claims, slots)
-    small = len(fetch.limit(BROADCAST_CLAIMS + 1).head(BROADCAST_CLAIMS + 1)) <= BROADCAST_CLAIMS
+    fetch = ids_to_fetch(claims, slots, order)
+    small = claims.limit(BROADCAST_CLAIMS + 1).count() <= BROADCAST_CLAIMS  # counted by the executors
     fetch = fetch.withColumnsRenamed({"part": "_p", "id": "_k", "ver": "_v"})
     key, part = s.keys[0], s.partition
     data = table.data
     joined = data.join(F.broadcast(fetch) if small else fetch, (data[part] == fetch["_p"]) & (data[key] == fetch["_k"]))
     wanted = list(columns) or [c for c in table.compiled.visible if c != VERSION and c in data.columns]
+    joined = joined.orderBy("_p", "_k") if sort else joined
     return joined.select(*[data[c] for c in wanted], F.col("_v").alias(VERSION))
 
 
@@ -84,5 +83,8 @@ def generic_records(table: Table, rows: DataFrame | None = None) -> DataFrame:
     return df.select(*[F.col(c).alias(a) for c, a in parts if c], *extra)
 
 
-def cached_generic(table: Table, claims: DataFrame, slots: DataFrame) -> DataFrame:
-    return generic_records(table, cached_ids(table, claims, slots))
+def cached_generic(table: Table, claims: DataFrame, slots: DataFrame, order: str | None = None) -> DataFrame:
+    return generic_records(table, cached_ids(table, claims, slots, order=order))
+
+
+__all__ = ["cached_generic", "cached_ids", "delta_column", "generic_records", "ids_to_fetch", "slot_versions", "version_guard"]

@@ -191,7 +191,10 @@ class Query:
             df = layout
             if route.source.exploded:
                 preds = [Pred(p.column, "=", p.values) if p.op == "CONTAINS" and p.column == route.source.exploded else p for p in preds]
-        return (df.where(conjunction(preds)) if preds else df), route
+        df = df.where(conjunction(preds)) if preds else df
+        if layout is not None and route.source.kind == "group" and any(t.columns[k].spec.is_collection for k in route.source.keys):
+            df = df.dropDuplicates([k for k in t.primary_key if k in df.columns])  # a row stands once for each combination
+        return df, route
 
     def df(self) -> DataFrame:
         t = self.table.compiled

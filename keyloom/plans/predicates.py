@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from keyloom.functions.types import TypeSpec
 from keyloom.plans.schema import CompiledTable
 
-OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "IN", "BETWEEN", "CONTAINS", "BEGINS_WITH")
+#: Those that a query given as data may use, then those of the fluent form and of plans; RANGES is an OR of bounds.
+SPEC_OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "IN", "BETWEEN", "CONTAINS")
+OPERATORS = (*SPEC_OPERATORS, "BEGINS_WITH", "RANGES")
 
 
 class QueryError(ValueError):
@@ -58,6 +61,8 @@ class Pred:
                 return c.isin(*v)
             case "BETWEEN":
                 return c.between(F.lit(v[0]), F.lit(v[1]))
+            case "RANGES":
+                return reduce(Column.__or__, [c.between(F.lit(a), F.lit(b)) for a, b in v]) if v else F.lit(False)
             case "CONTAINS":
                 return F.array_contains(c, v[0])
             case _:
@@ -120,7 +125,7 @@ def from_specs(table: CompiledTable, specs: Sequence[dict]) -> list[Pred]:
         spec = table.columns[column].spec
         op = str(s.get("op", "=")).strip().upper() or "="
         op = {"==": "=", "<>": "!="}.get(op, op)
-        if op not in OPERATORS[:-1]:
+        if op not in SPEC_OPERATORS:
             raise QueryError(f"unknown operator {op}")
         if op == "IN":
             values = tuple(coerce(v, spec) for v in s.get("values") or ())

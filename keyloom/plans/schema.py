@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import types as T
 
+from keyloom.functions.encode import basic_hash
 from keyloom.functions.types import INTEGERS, TypeSpec, type_of
 
 
@@ -343,6 +344,21 @@ class CompiledTable:
             fields.append(T.StructField(c.name, kind, True, {"type_id": c.spec.id, **({"collection": c.kind} if c.spec.is_collection else {})}))
         return T.StructType(fields)
 
+    @cached_property
+    def group_ids(self) -> dict[tuple[str, ...], int]:
+        """A number of 16 bits for each group of columns: the hash of its name, or the next that is free and not 0."""
+        taken: dict[int, str] = {}
+        out = {}
+        for g in self.groups:
+            keys = tuple(k.name for k in g.keys)
+            name = "_".join(keys)
+            n = basic_hash(name) & 0xFFFF or 1
+            while taken.get(n, name) != name:
+                n = n % 0xFFFF + 1
+            taken[n] = name
+            out[keys] = n - (1 << 16) if n >= 1 << 15 else n
+        return out
+
     @property
     def visible(self) -> tuple[str, ...]:
         """The columns of a default projection: declared ones."""
@@ -358,6 +374,11 @@ def compile_table(schema: TableSchema) -> CompiledTable:
     return _COMPILED[schema]
 
 
+def version_digits(table: CompiledTable) -> int:
+    """The fewest digits that a packed layout of the table has for versions; 0 if none holds them."""
+    return min((s.slots[-1] for s in table.sources if s.slots and s.keys[-1] == VERSION), default=0)
+
+
 class Registry:
     """Tables by name; table ids are unique."""
 
@@ -380,4 +401,4 @@ class Registry:
         return sorted(self._tables)
 
 
-__all__ = ["Col", "CompiledTable", "FixedValues", "GenericRecord", "Index", "Registry", "SchemaError", "Source", "TableSchema", "compile_table", "delta_slots"]
+__all__ = ["Col", "CompiledTable", "FixedValues", "GenericRecord", "Index", "Registry", "SchemaError", "Source", "TableSchema", "compile_table", "delta_slots", "version_digits"]

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.encode import hash_tuple, hash_values, pack
+from keyloom.operators.groups import with_hashes
 from keyloom.operators.query import Table
 from keyloom.plans.planner import plan_buckets
 from keyloom.plans.schema import CompiledTable, Index, SchemaError, Source
 
-DERIVED = ("view", "packed", "hash", "exploded", "packed_local", "packed_global")
+DERIVED = ("view", "packed", "hash", "exploded", "local", "global", "packed_local", "packed_global", "group")
+#: Bytes of a table that make a file of a layout, and its fewest files.
+FILE_BYTES, FEWEST = 256 << 20, 4
 
 
 def layout(table: Table, source: Source) -> DataFrame:
@@ -23,6 +26,8 @@ def layout(table: Table, source: Source) -> DataFrame:
     if source.exploded:
         df = df.withColumn(source.exploded, F.explode(F.array_distinct(source.exploded)))
     names = [c for c in (source.payload or t.columns) if c in df.columns]
+    if source.kind == "group":
+        return with_hashes(df, t, source.keys, source.packed_column).select(*names, source.packed_column)
     if source.slots:
         packed = pack([F.col(k) for k in source.keys], source.slots)
         return df.select(*names, packed.alias(source.packed_column))
@@ -31,25 +36,28 @@ def layout(table: Table, source: Source) -> DataFrame:
     return df.select(*names)
 
 
-def write_layout(table: Table, source: Source, root: str, buckets: int = 16) -> DataFrame:
-    """The layout as files, in a hash bucket of its partition and sorted by its keys, so that a query skips row groups.
+def write_layout(table: Table, source: Source, root: str, files: int | None = None) -> DataFrame:
+    """The layout as files: ranges of (partition, key), sorted, so that a query skips files and row groups by their bounds.
 
-    A bucket column instead of a folder for each partition value keeps the number of files bounded; the bucket's equality
-    is not needed for a right result.
+    The number of files follows the table's size; a partition value with very many rows is cut by its keys. Equalities on
+    a hash, or on a key, also meet a Bloom filter of each row group.
     """
     spark, path = table.data.sparkSession, f"{root}/{source.name}"
     df = layout(table, source)
-    order = [source.packed_column] if source.slots or source.kind == "hash" else list(source.keys)
-    if source.partition:
-        df = df.repartition(buckets, source.partition)
-        order = [source.partition, *order]
-    df.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    key = source.packed_column if source.slots or source.kind in ("hash", "group") else None
+    order = [*([source.partition] if source.partition else []), *([key] if key else [k for k in source.keys if k in df.columns])]
+    size = int(str(table.data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = files or min(100_000, max(FEWEST, -(-size // FILE_BYTES)))
+    writer = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite")
+    writer.option(f"parquet.bloom.filter.enabled#{order[-1]}", "true").parquet(path)
     return spark.read.parquet(path)
 
 
 def build_layouts(table: Table, root: str, names: Sequence[str] = ()) -> Table:
     """The table with all its layouts written, or those named."""
-    made = {s.name: write_layout(table, s, root) for s in table.compiled.sources if s.kind in DERIVED and (not names or s.name in names)}
+    columns = table.compiled.columns
+    plain = lambda s: s.kind in DERIVED and not (s.kind in ("local", "global") and columns[s.keys[0]].spec.is_collection)
+    made = {s.name: write_layout(table, s, root) for s in table.compiled.sources if plain(s) and (not names or s.name in names)}
     return table.with_layouts(made)
 
 

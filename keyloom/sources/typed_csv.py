@@ -15,9 +15,10 @@ from keyloom.functions.types import BY_ID, INTEGERS
 from keyloom.operators.query import Table
 from keyloom.plans.schema import CompiledTable, SchemaError
 
-# What stands for a back slash, a bar, a comma and line ends within texts, and for null.
+# What stands for a back slash, a bar, a comma and line ends within texts, for null, and for an empty text
+# in a list, where nothing stands for no element.
 ESCAPES = (("\\", "\\b"), ("|", "\\p"), (",", "\\c"), ("\n", "\\n"), ("\r", "\\r"))
-NULL = "\\0"
+NULL, EMPTY = "\\0", "\\e"
 KINDS = {*range(1, 9), 10, *range(11, 18), *range(21, 29), *range(31, 38)}
 
 
@@ -36,7 +37,8 @@ def _unescape(c: Column) -> Column:
 def _write(c: Column, spark_type: str) -> Column:
     if spark_type.startswith("array"):
         element = spark_type[6:-1]
-        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _write(x, element)), ","))
+        item = lambda x: F.coalesce(F.when(_write(x, element) == "", F.lit(EMPTY)).otherwise(_write(x, element)), F.lit(NULL))
+        return F.concat(F.lit("["), F.array_join(F.transform(c, item), ","))
     if spark_type in INTEGERS:
         return csv64(c)
     return _escape(c.cast("string"))
@@ -46,7 +48,7 @@ def _read(c: Column, spark_type: str) -> Column:
     if spark_type.startswith("array"):
         element, body = spark_type[6:-1], F.substring(c, 2, 1 << 30)
         parts = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, ","))
-        return F.transform(parts, lambda x: _read(x, element)).cast(spark_type)
+        return F.transform(parts, lambda x: F.when(x != NULL, _read(F.when(x == EMPTY, F.lit("")).otherwise(x), element))).cast(spark_type)
     if spark_type in INTEGERS:
         return from_csv64(c).cast(spark_type)
     return _unescape(c).cast(spark_type)

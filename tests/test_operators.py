@@ -99,8 +99,9 @@ def test_slots(spark, table):
     assert slots.where("part = 1 AND slot = 4").first().ver == 4
     newer = incremental.slot_versions(spark.createDataFrame([(1, 260, 70000)], "company_id int, id bigint, updated_version int"), "company_id", "id", known=slots)
     assert newer.where("part = 1 AND slot = 4").first().ver == 70000 - 65536 and newer.count() == slots.count()
-    claims = spark.createDataFrame([(1, 4, 4), (1, 6, 5), (1, 6, 6), (1, 8, 7), (2, 9, None), (2, 4, 0)], "part int, id bigint, ver int").coalesce(1)
-    assert sorted((r.part, r.id) for r in incremental.ids_to_fetch(claims, slots).collect()) == [(1, 8), (2, 4), (2, 9)]
+    claims = spark.createDataFrame([(1, 4, 4, 1), (1, 6, 5, 2), (1, 6, 6, 3), (1, 8, 7, 4), (2, 9, None, 5), (2, 4, 0, 6)], "part int, id bigint, ver int, at int")
+    assert sorted((r.part, r.id) for r in incremental.ids_to_fetch(claims, slots).collect()) == [(1, 6), (1, 8), (2, 4), (2, 9)]  # the least one claimed
+    assert sorted((r.part, r.id) for r in incremental.ids_to_fetch(claims, slots, "at").collect()) == [(1, 8), (2, 4), (2, 9)]
     got = incremental.cached_generic(table, claims, slots).collect()
     assert sorted((r.ID, r.n1, r.updated_version) for r in got) == [(8, 8, 8), (9, 9, 9)]
 
