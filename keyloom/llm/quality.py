@@ -1,7 +1,8 @@
 """A quality classifier learnt from positive and unlabelled texts by the non-negative unbiased risk (Kiryo et al., 2017).
 
-Trusted positives and unlabelled web text are drawn as bounded samples, the share of positives in the latter is
-estimated, and a linear model of character and word statistics is fitted on the driver. Every text is then scored whole.
+A linear model of character and word statistics is fitted on the driver, from bounded samples of the trusted positives and
+of the unlabelled text. The share of positives, which the risk needs, is estimated over all unlabelled text. Every text is
+then scored whole.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
-#: Bound of each of the two samples, in texts.
+#: Bound of each of the two samples that the weights are fitted on, in texts.
 SAMPLE = 6000
+#: Fewest texts of each sample for an estimate of the prior, and the prior without one.
+FEWEST, NO_PRIOR = 20, 0.5
 _LETTER, _UPPER, _DIGIT, _SPACE, _LINE, _HIGH, _CONTROL = range(7)
 
 
@@ -79,12 +82,17 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     prior: float
+    #: Whether there were texts to learn from; else all scores are 0.5.
+    learnt: bool = True
 
     def score(self, text: bytes) -> float:
-        at, values = features(text)
-        g = float(np.dot(self.weights[at], values))
+        g = self.margin(text)
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
+    def margin(self, text: bytes) -> float:
+        at, values = features(text)
+        return float(np.dot(self.weights[at], values))
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
@@ -110,27 +118,32 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: fl
     return w
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, steps: int, seed: int) -> float:
-    """Share of positives in u: above any score, u holds at least that share times what p holds there.
+def _used(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(p.any(axis=0) | u.any(axis=0))  # most pairs of signs never occur
 
-    A classifier of p against u is fitted on half of each; on the other halves the least ratio of the two shares, over
-    scores that at least half of p reaches, is the estimate.
-    """
-    w = _fit(p[::2], u[::2], None, steps, 0.02, 1e-4, seed)
-    sp, su = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
+
+def _weights(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: float, decay: float, seed: int) -> np.ndarray:
+    used, out = _used(p, u), np.zeros(SIZE)
+    out[used] = _fit(p[:, used].astype(np.float64), u[:, used].astype(np.float64), prior, steps, rate, decay, seed)
+    return out
+
+
+def prior_cuts(p: np.ndarray, u: np.ndarray, others: np.ndarray, steps: int = 400, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of a classifier of p against u; cuts of its scores of other positives; their share at or above each."""
+    w = _weights(p, u, None, steps, 0.02, 1e-4, seed)
+    sp = np.sort(others @ w)
     cuts = np.quantile(sp, np.linspace(0.005, 0.5, 100))
-    above = lambda s: 1 - np.searchsorted(s, cuts) / len(s)
-    return float(np.clip(np.min(above(su) / above(sp)), 0.05, 0.99))
+    return w, cuts, 1 - np.searchsorted(sp, cuts) / len(sp)
 
 
-def fit(p: np.ndarray, u: np.ndarray, steps: int = 1200, seed: int = 7) -> Model:
-    if not len(p) or not len(u):
-        return Model(np.zeros(SIZE), 0.5)
-    used = np.flatnonzero(p.any(axis=0) | u.any(axis=0))  # most pairs of signs never occur
-    p, u, weights = p[:, used].astype(np.float64), u[:, used].astype(np.float64), np.zeros(SIZE)
-    prior = class_prior(p, u, steps // 3, seed) if min(len(p), len(u)) >= 20 else 0.5
-    weights[used] = _fit(p, u, prior, steps, 0.03, 1e-5, seed + 1)
-    return Model(weights, prior)
+def class_prior(above_u: np.ndarray, above_p: np.ndarray) -> float:
+    """Share of positives: above any cut, the unlabelled hold at least that share times what the positives hold there, so
+    the least ratio of the two is the estimate."""
+    return float(np.clip(np.min(above_u / above_p), 0.05, 0.99))
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1200, seed: int = 8) -> Model:
+    return Model(_weights(p, u, prior, steps, 0.03, 1e-5, seed), prior)
 
 
 def held_out(id_col: Column) -> Column:
@@ -146,26 +159,54 @@ def _matrix(rows: list) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from docs that are not held out: positives are those whose labels are all 1, unlabelled those without one.
+    """Learns from the rows of docs whose id is known and not held out: positives are those whose labels are all 1, and
+    all of them, whatever their label, are the unlabelled text.
 
-    Each sample has the `sample` texts of the least hash of their id, so it is bounded and the same in each run. Labels 0
-    are only used to leave their documents out of both. With no positives or no unlabelled texts all scores are 0.5.
+    The weights are fitted on `sample` texts of each kind at most, those of the least hash of id and text, repeated rows
+    counting once: the driver gets no more than that, and the same in each run. The prior is estimated from counts over
+    every unlabelled row. Labels that are null or disagree make no positive. Without positives nothing is learnt and all
+    scores are 0.5; with fewer than FEWEST of either kind the prior is NO_PRIOR.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z"))
-    ids = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    tagged = ids.join(known, "_id", "left").withColumn("_u", F.col("_y").isNull() & F.col("_z").isNull()).where("_u OR (_y = 1 AND _z = 1)")
-    order = F.xxhash64("_id")
-    chosen = tagged.where("NOT _u").orderBy(order, "_id").limit(sample).unionByName(tagged.where("_u").orderBy(order, "_id").limit(sample)).select("_id", "_u")
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select("_id", "_u", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t"))  # 2 * sample ids
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    fold = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.cast("binary").alias("_t"))
+    ids = fold.select("_id", "_h").distinct()
+    order = [F.xxhash64("_id", "_h"), "_id", "_h"]
+    drawn = ids.orderBy(*order).limit(sample).withColumn("_u", F.lit(True))
+    trusted = ids.join(known.where("_y = 1 AND _z = 1"), "_id").select("_id", "_h").orderBy(*order).limit(sample).withColumn("_u", F.lit(False))
+    chosen = F.broadcast(drawn.unionByName(trusted).withColumnsRenamed({"_id": "_i", "_h": "_g"}))  # 2 * sample rows
+    texts = fold.join(chosen, (fold["_id"] == chosen["_i"]) & (fold["_h"] == chosen["_g"])).groupBy("_id", "_h", "_u").agg(F.first("_t").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "u", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["h", "u", "at", "value"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(texts.mapInArrow(run, f"id {kind}, u boolean, at array<int>, value array<float>").collect(), key=lambda r: (str(r["id"]), r["at"], r["value"]))
-    return fit(_matrix([r for r in rows if not r["u"]][:sample]), _matrix([r for r in rows if r["u"]][:sample]))
+    rows = sorted(texts.select("_h", "_u", "_t").mapInArrow(run, "h bigint, u boolean, at array<int>, value array<float>").collect(), key=lambda r: (r["h"], r["at"], r["value"]))
+    p, u = _matrix([r for r in rows if not r["u"]]), _matrix([r for r in rows if r["u"]])
+    if not len(p) or not len(u):
+        return Model(np.zeros(SIZE), NO_PRIOR, False)
+    if min(len(p), len(u)) < FEWEST:
+        return fit(p, u, NO_PRIOR)
+    # each text is counted by a classifier that was fitted on others: those whose hash has the other parity
+    hp, hu = (np.array([r["h"] & 1 for r in rows if r["u"] == kind]) for kind in (False, True))
+    if min((h == k).sum() for h in (hp, hu) for k in (0, 1)) < FEWEST // 4:
+        return fit(p, u, NO_PRIOR)
+    folds = [prior_cuts(p[hp != k], u[hu != k], p[hp == k]) for k in (0, 1)]
+    against = [Model(w, 0.0) for w, _, _ in folds]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: list[list[float]] = [[], []]
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own[h & 1].append(against[h & 1].margin(t))
+            above = sum(len(x) - np.searchsorted(np.sort(x), cuts) for x, (_, cuts, _) in zip(own, folds, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(above)), pa.int32()), pa.array([batch.num_rows, *above.tolist()], pa.int64())], ["cut", "n"])
+
+    with_cut = fold.select("_h", "_t").mapInArrow(counts, "cut int, n bigint").groupBy("cut").agg(F.sum("n").alias("n")).collect()  # a row for each cut
+    n = {r["cut"]: r["n"] for r in with_cut}
+    above_p = sum(share * (hp == k).mean() for k, (_, _, share) in enumerate(folds))
+    return fit(p, u, class_prior(np.array([n[k] for k in range(len(above_p))]) / n[-1], above_p))
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from keyloom.llm.quality import CLASS, SIZE, N, class_prior, features, held_out, score_documents, train
+from keyloom.llm import quality
+from keyloom.llm.quality import CLASS, SIZE, Model, N, class_prior, features, held_out, prior_cuts, score_documents, train
 
 SCHEMA = "doc_id bigint, text string, score string, lang string"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -41,9 +42,34 @@ def test_features_count_every_byte():
 
 def test_prior_is_near_the_share_of_positives():
     rng = np.random.default_rng(0)
-    p = np.c_[rng.normal(1, 1, 3000), np.ones(3000)]
-    u = np.c_[np.r_[rng.normal(1, 1, 2100), rng.normal(-4, 1, 900)], np.ones(3000)]
-    assert abs(class_prior(p, u, 300, 1) - 0.7) < 0.06
+    dense = lambda x: np.c_[x, np.ones(len(x)), np.zeros((len(x), SIZE - 2))]
+    p, u = dense(rng.normal(1, 1, 3000)), dense(np.r_[rng.normal(1, 1, 2100), rng.normal(-4, 1, 900)])
+    w, cuts, above_p = prior_cuts(p[::2], u[::2], p[1::2])
+    scores = u[1::2] @ w
+    assert abs(class_prior(np.array([(scores >= c).mean() for c in cuts]), above_p) - 0.7) < 0.06
+
+
+def test_scores_are_those_of_the_weights(spark):
+    rng = np.random.default_rng(2)
+    model = Model(rng.normal(size=SIZE), 0.5)
+    texts = ["", "a b", "One line.\nTwo lines!", "x" * 300, None]
+    got = score_documents(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        at, values = features((t or "").encode())
+        want = 1 / (1 + np.exp(-float(sum(model.weights[i] * v for i, v in zip(at, values, strict=True)))))
+        assert r.score == pytest.approx(want) and r.predicted == int(want >= 0.7)
+
+
+def test_samples_are_bounded_also_where_rows_repeat(spark, corpus, monkeypatch):
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows + [rows[labels[0][0]]] * 500 + [(labels[0][0], f"other text {k}", "x", "en") for k in range(300)], SCHEMA)
+    seen = []
+    matrix = quality._matrix
+    monkeypatch.setattr(quality, "_matrix", lambda rows: seen.append(len(rows)) or matrix(rows))
+    model = train(docs, spark.createDataFrame(labels, LABELS), sample=100)
+    assert seen == [100, 100] and model.learnt
+    every = train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(r[0], 1, 0) for r in rows], LABELS))
+    assert every.learnt and every.prior > 0.8  # labels for every document leave no row without one
 
 
 def test_held_out_accuracy(spark, corpus):
@@ -70,4 +96,4 @@ def test_edge_cases(spark, corpus):
     assert all(0 <= s <= 1 for s in scores) and scores[0] == scores[1] and scores[3] == scores[4]
     assert score_documents(docs.limit(0), model).count() == 0
     none = train(docs.limit(0), known.limit(0))
-    assert [r.score for r in score_documents(odd, none).collect()] == [0.5] * 5
+    assert not none.learnt and [r.score for r in score_documents(odd, none).collect()] == [0.5] * 5
