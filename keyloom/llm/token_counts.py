@@ -8,6 +8,7 @@ share the trie's nodes and their scores, and each terminal node keeps the number
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Nodes of a trie, words whose counts a worker remembers, and characters of text that are counted together.
 NODES, REMEMBER, AT_ONCE = 400_000, 500_000, 2_000_000
+#: Characters of the longest word that gets nodes; longer ones are scored without them, and not remembered.
+LONG = 1000
 
 
 def pieces_of(model_file: str) -> dict[str, float]:
@@ -79,6 +82,22 @@ class Trie:
         return self.terminal[node]
 
 
+    def tokens_of(self, word: str) -> int:
+        """The number of tokens of a word, from the scores of as many prefixes as the longest piece has characters."""
+        score, tokens = deque([0.0], self.longest), deque([0], self.longest)
+        for end in range(1, len(word) + 1):
+            n = len(word[end - 1].encode())
+            best, least = score[-1] + n * self.byte, tokens[-1] + n
+            for back in range(len(score), 0, -1):
+                if (p := self.pieces.get(word[end - back : end])) is not None:
+                    s, t = score[-back] + p, tokens[-back] + 1
+                    if s > best or (s == best and t < least):
+                        best, least = s, t
+            score.append(best)
+            tokens.append(least)
+        return tokens[-1]
+
+
 class Counter:
     """Tokens of whole texts; remembers the counts of a bounded number of words, and holds one trie at a time."""
 
@@ -90,17 +109,15 @@ class Counter:
         cut = [t.split() for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
-        known, insert = self.known, self.trie.insert
+        known, insert, long = self.known, self.trie.insert, {}
         for w in sorted({w for words in cut for w in words if w not in known}):
-            known[w] = insert(MARK + w) if len(w) < AT_ONCE else self._long(MARK + w)
+            if len(w) > LONG:
+                long[w] = self.trie.tokens_of(MARK + w)
+                continue
+            known[w] = insert(MARK + w)
             if len(self.trie.score) > NODES:
                 self.trie.clear()
-        return [(len(words), sum(map(known.__getitem__, words))) for words in cut]
-
-    def _long(self, word: str) -> int:
-        n = self.trie.insert(word)
-        self.trie.clear()
-        return n
+        return [(len(words), sum(known[w] if len(w) <= LONG else long[w] for w in words) if long else sum(map(known.__getitem__, words))) for words in cut]
 
 
 _COUNTERS: dict[str, Counter] = {}

@@ -59,3 +59,16 @@ def test_tables(spark, pieces):
     counter = Counter(pieces)
     assert [(r.n_words, r.n_tokens) for r in out.collect()] == counter.count([r[1] or "" for r in rows])
     assert count_tokens(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_long_words_are_scored_alike_without_nodes(monkeypatch):
+    pieces = {MARK: -1.0, "a": -2.0, "b": -2.0, "ab": -3.5, "aba": -6.0, MARK + "a": -3.0}
+    rng, trie = random.Random(5), Trie(pieces)
+    for _ in range(200):
+        word = MARK + "".join(rng.choice("abcé") for _ in range(rng.randrange(40)))
+        assert trie.tokens_of(word) == brute(word, pieces, trie.byte)
+    assert len(trie.score) == 1
+    counter = Counter(pieces)
+    word = "ab" * 50_000
+    assert counter.count([f"ab {word} ab", word]) == [(3, 2 * counter.known["ab"] + trie.tokens_of(MARK + word)), (1, trie.tokens_of(MARK + word))]
+    assert word not in counter.known and len(counter.trie.score) < 10
