@@ -9,20 +9,21 @@ from pyspark.sql.window import Window
 from keyloom.llm.common import persisted
 
 SHARDS, PARTS, TOLERANCE, PER_ROW = 40, 16, 0.002, 16
-#: Bits of the key that the rounds of probes take: the first one TOP, each later one STEP, of 64 + 64.
-TOP, STEP, WORDS = 12, 8, 128
+#: Bits of the key that the rounds of probes take: the first one TOP, each later one STEP, of three words of 64: the hash of
+#: the text, that of the id, and a number that tells equal rows apart.
+TOP, STEP, KEY = 12, 8, ("_h", "_d", "_r")
+WORDS = 64 * len(KEY)
 
 
 def _digit(done: int, bits: int) -> Column:
-    """The next `bits` bits of the key (_h, _d) after the first `done`, as a number from 0."""
-    word, at = ("_h", done) if done < 64 else ("_d", done - 64)
-    return F.shiftrightunsigned(F.shiftleft(F.col(word), at), 64 - bits)
+    """The next `bits` bits of the key after the first `done`, as a number from 0; they lie in one word."""
+    return F.shiftrightunsigned(F.shiftleft(F.col(KEY[done // 64]), done % 64), 64 - bits)
 
 
 def splitters(rows: DataFrame, parts: int, slack: float) -> list[int]:
-    """Boundaries (keys of 128 bits, ascending) of `parts` ranges of equal bytes.
+    """Boundaries (keys of 192 bits, ascending) of `parts` ranges of equal bytes.
 
-    rows: _h, _d (bigint, in unsigned order) and size. Each round counts the exact bytes below candidate boundaries over
+    rows: _h, _d, _r (bigint, in unsigned order) and size. Each round counts the exact bytes below candidate boundaries over
     all partitions; each splitter takes the nearest candidate. One that misses its target by more than `slack` times all
     bytes is probed again within its bin, at the next bits, unless the bin has a single row. The driver gets at most
     2^TOP, then (parts - 1) * 2^STEP counts, whatever the input.
@@ -58,7 +59,7 @@ def splitters(rows: DataFrame, parts: int, slack: float) -> list[int]:
     left = settle(0, 0, TOP, first, list(range(1, parts)), WORDS - TOP) if total else {}
     done = TOP
     while left:
-        bits = min(STEP, 64 - done if done < 64 else WORDS - done)
+        bits = min(STEP, 64 - done % 64)
         names = _named(rows, sorted(left), done)
         by: dict[int, list] = {}
         for prefix, b, size, n in counts(names, F.col("_name"), _digit(done, bits).alias("bin")):
@@ -72,14 +73,15 @@ def splitters(rows: DataFrame, parts: int, slack: float) -> list[int]:
 
 def _named(rows: DataFrame, prefixes: list[int], done: int) -> DataFrame:
     """The rows whose first `done` bits are one of the prefixes, and its number as _name."""
-    if done <= 64:
-        table = [(k, _signed(p), 0) for k, p in enumerate(prefixes)]
-        high, low = (F.shiftrightunsigned("_h", 64 - done) if done < 64 else F.col("_h")), F.lit(0).cast("long")
-    else:
-        table = [(k, _signed(p >> (done - 64)), p & ((1 << (done - 64)) - 1)) for k, p in enumerate(prefixes)]
-        high, low = F.col("_h"), F.shiftrightunsigned("_d", WORDS - done)
-    names = rows.sparkSession.createDataFrame(table, "_name int, _high bigint, _low bigint")
-    return rows.withColumns({"_high": high, "_low": low}).join(F.broadcast(names), ["_high", "_low"])  # a row for each splitter
+    keys, table = [], [[k] for k in range(len(prefixes))]
+    for w, word in enumerate(KEY[: -(-done // 64)]):
+        left = min(64, done - 64 * w)  # bits of this word
+        keys.append(F.shiftrightunsigned(word, 64 - left) if left < 64 else F.col(word))
+        for row, p in zip(table, prefixes, strict=True):
+            row.append(_signed((p >> (done - 64 * w - left)) & ((1 << left) - 1)))
+    columns = [f"_k{w}" for w in range(len(keys))]
+    names = rows.sparkSession.createDataFrame(list(map(tuple, table)), ", ".join(["_name int", *[f"{c} bigint" for c in columns]]))
+    return rows.withColumns(dict(zip(columns, keys, strict=True))).join(F.broadcast(names), columns)  # a row for each splitter
 
 
 def _signed(x: int) -> int:
@@ -88,19 +90,19 @@ def _signed(x: int) -> int:
 
 
 def _place(rows: DataFrame, marks: list[int]) -> DataFrame:
-    """rows with the column _place: how many marks (keys of 128 bits) are at or below the row's key.
+    """rows with the column _place: how many marks (keys of 192 bits) are at or below the row's key.
 
     The marks are dealt to the 2^TOP bins of the key's first bits; a row only meets those of its own bin.
     """
     flip, own = 1 << 63, {}
     for m in marks:
-        own.setdefault(m >> (WORDS - TOP), []).append((_signed((m >> 64) ^ flip), _signed(m ^ flip)))
+        own.setdefault(m >> (WORDS - TOP), []).append(tuple(_signed((m >> at) ^ flip) for at in range(WORDS - 64, -1, -64)))
     below, bins = 0, []
     for b in range(1 << TOP):
         bins.append((b, below, own.get(b, [])))
         below += len(own.get(b, []))
-    table = rows.sparkSession.createDataFrame(bins, "_bin int, _below int, _own array<struct<h: bigint, d: bigint>>")
-    key = F.struct(F.col("_h").bitwiseXOR(F.lit(_signed(flip))).alias("h"), F.col("_d").bitwiseXOR(F.lit(_signed(flip))).alias("d"))
+    table = rows.sparkSession.createDataFrame(bins, "_bin int, _below int, _own array<struct<h: bigint, d: bigint, r: bigint>>")
+    key = F.struct(*[F.col(w).bitwiseXOR(F.lit(_signed(flip))).alias(w[1:]) for w in KEY])
     joined = rows.withColumn("_bin", _digit(0, TOP).cast("int")).join(F.broadcast(table), "_bin")  # 2^TOP rows, and a mark for each splitter
     return joined.withColumn("_place", (F.col("_below") + F.size(F.filter("_own", lambda m: m <= key))).cast("int")).drop("_bin", "_below", "_own")
 
@@ -112,18 +114,27 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the id, so equal texts are neighbours; a group of copies is only cut where its shard would else miss its size.
     Splitters are found for `shards * parts` ranges, each within `tolerance` of a shard's bytes or at the nearest row;
     the ranges keep the numbering within a shard in many tasks, and the rows are exchanged once. slot: gapless from 0 in
-    each shard. Null ids and texts are ordered like a fixed value; rows that repeat in id and text are not told apart
-    and stay in one range. Other columns stay; those named size, shard or slot are replaced. An empty table gives an
-    empty result.
+    each shard. Null ids and texts are ordered like a fixed value. If rows repeat in id and text, docs is written once with
+    row numbers, and these tell them apart, so that a row that repeats very often is dealt to many shards. Other columns
+    stay; those named size, shard or slot are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    keyed = docs.select(*own).withColumns({
-        "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        "_d": F.xxhash64(F.col(id_col)),
-        "size": F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")) + F.lit(PER_ROW),
-    })
-    rows, _ = persisted(keyed.select("_h", "_d", "size"), "sizes")
+
+    def keys(df: DataFrame, number: Column) -> DataFrame:
+        return df.withColumns({
+            "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+            "_d": F.xxhash64(F.col(id_col)),
+            "_r": number.cast("bigint"),
+            "size": F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")) + F.lit(PER_ROW),
+        })
+
+    keyed = keys(docs.select(*own), F.lit(0))
+    rows, _ = persisted(keyed.select(*KEY, "size"), "sizes")
+    if not rows.groupBy("_h", "_d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        numbered, _ = persisted(docs.select(*own, F.monotonically_increasing_id().alias("_number")), "rows")
+        keyed = keys(numbered, F.xxhash64("_number")).drop("_number")
+        rows, _ = persisted(keyed.select(*KEY, "size"), "sizes")
     n = shards * parts
     marks = splitters(rows, n, tolerance / shards)
     counts = {r["_place"]: r["n"] for r in _place(rows, marks).groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
@@ -133,6 +144,6 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first.append((p, at))
         at += counts.get(p, 0)
     offsets = spark.createDataFrame(first, "_place int, _first bigint")
-    order = Window.partitionBy("_place").orderBy("_h", "_d", "size")
+    order = Window.partitionBy("_place").orderBy(*KEY, "size")
     placed = _place(keyed, marks).withColumn("_row", F.row_number().over(order)).join(F.broadcast(offsets), "_place")
     return placed.select(*own, "size", F.floor(F.col("_place") / F.lit(parts)).cast("int").alias("shard"), (F.col("_first") + F.col("_row") - 1).alias("slot"))

@@ -33,6 +33,11 @@ def test_shards_have_near_equal_bytes(spark, copies):
     assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in again)
 
 
+def test_a_row_that_repeats_is_dealt_out(spark):
+    rows = [(i, "é" * (i % 60), "x", 1) for i in range(500)] + [(7, "the same row", "y", 2)] * 3000
+    check(rows, shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(4), shards=8, parts=3).collect(), 8, 2 * 140)
+
+
 def test_equal_texts_stay_together_where_sizes_allow(spark):
     rows = [(i, f"text {i % 800}", None, 0) for i in range(4000)]
     got = shard_documents(spark.createDataFrame(rows, SCHEMA), shards=4, parts=2, tolerance=0.05).collect()
