@@ -29,7 +29,7 @@ def normalised(vectors: list) -> np.ndarray:
 
 
 def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
-    """One 64-bit number per row and table, of its quantised random projections."""
+    """One 32-bit number per row and table, of its quantised random projections."""
     rng = np.random.default_rng([seed, unit.shape[1]])
     lines, shift = rng.normal(size=(unit.shape[1], tables * hashes)), rng.uniform(0, width, tables * hashes)
     steps = np.floor((unit @ lines + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, hashes)
@@ -37,11 +37,16 @@ def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, width: f
     for h in range(hashes):
         out = (out ^ steps[:, :, h]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _list(column: pa.ChunkedArray) -> list:
-    return [x.as_py() for x in column]
+def _unit_rows(raw: list[bytes], kind: type) -> np.ndarray:
+    """Rows of length one of the bytes of vectors."""
+    if len(set(map(len, raw))) == 1:
+        out = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+        out /= np.abs(out).max(axis=1, keepdims=True)
+        return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return normalised([np.frombuffer(r, kind) for r in raw])
 
 
 def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -67,10 +72,12 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                 own = [k for k, y in enumerate(vs) if len(y) == n]
                 for k, c in zip(own, codes(normalised([vs[k] for k in own]), tables, hashes, width), strict=True):
                     out[k] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
+            raw = pa.array([np.array(y, kind).tobytes() for y in vs], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32())), raw], [*batch.schema.names, "codes", "raw"])
 
-    kind = vectors.schema[label_col].dataType.simpleString()
-    coded, _ = persisted(some.mapInArrow(hashed, f"label {kind}, v array<double>, least bigint, n bigint, c bigint, codes array<bigint>"), "codes")
+    label = vectors.schema[label_col].dataType.simpleString()
+    kind = np.float32 if vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<smallint>", "array<tinyint>") else np.float64
+    coded, _ = persisted(some.mapInArrow(hashed, f"label {label}, v array<double>, least bigint, n bigint, c bigint, codes array<int>, raw binary"), "codes")
     keys = ["label", "dim", "t", "code"]
     buckets = coded.select("c", "label", F.size("v").alias("dim"), F.posexplode("codes").alias("t", "code"))
     dealt = in_blocks(buckets, keys, F.col("c"), block, shared=True).select("c", "t", "run", "side", "cross")
@@ -78,7 +85,8 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_runs(batches):
             c, at = np.unique(rows["c"].to_numpy(), return_inverse=True)
-            unit, code, t, n = normalised(_list(rows["v"])), np.array(_list(rows["codes"])), rows["t"].to_numpy(), rows["n"].to_numpy()
+            unit, code = _unit_rows(rows["raw"].to_pylist(), kind), rows["codes"].combine_chunks().flatten().to_numpy().reshape(-1, tables)
+            t, n = rows["t"].to_numpy(), rows["n"].to_numpy()
             links, count = Links(len(c)), np.zeros(len(c), np.int64)
             for i, j in pairs(rows, _AT_ONCE):
                 own = np.argmax(code[i] == code[j], axis=1) == t[i]
@@ -92,7 +100,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             own = count > 0
             yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(count[own]), pa.array(c[root[own]])], ["c", "links", "root"])
 
-    found, _ = persisted(sorted_runs(dealt.join(coded.select("c", "v", "codes", "n"), "c")).mapInArrow(compare, "c bigint, links bigint, root bigint"), "links")
+    found, _ = persisted(sorted_runs(dealt.join(coded.select("c", "raw", "codes", "n"), "c")).mapInArrow(compare, "c bigint, links bigint, root bigint"), "links")
     joined = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("c").agg(F.sum("links").alias("links"))
     named = coded.select("label", "v", "n", "c", "least").join(counts, "c", "left").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
