@@ -57,16 +57,24 @@ def masks(radius: int = RADIUS) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id_col, fp (bigint) of each row. A null text counts as empty; no words give 0."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t, c and text of each row; null texts count as empty. t and c are two hashes of the text, which together say
+    which texts are equal."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("c"), text.alias("text"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns to keep, and fp (bigint) of each row. A null text counts as empty; no words give 0."""
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t or b"", shingle, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], [id_col, "fp"])
+            fp = [fingerprint(t or b"", shingle, seed) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.int64())], [*names, "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("binary").alias("_t")).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -91,6 +99,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return sorted_runs(in_blocks(rows, ["mask", "key"], F.col("fp"), block).select("fp", "run", "side", "cross")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _fp_classes(rows: DataFrame, radius: int, block: int) -> DataFrame:
+    """fp and root: the classes of fingerprints that links join, under one of them."""
+    classes, _ = persisted(rows.select("fp").distinct(), "classes")
+    joined = components(near_links(classes, radius, block))
+    return classes.join(joined, classes.fp == joined.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """id_col, fp, component: each row of docs with its fingerprint and the smallest id that links reach.
 
@@ -99,19 +114,41 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names do not matter. An empty table gives an empty result.
     """
     rows, _ = persisted(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text", shingle, seed), "fingerprints")
-    classes, _ = persisted(rows.groupBy("fp").agg(F.min("_id").alias("least")), "classes")
-    joined = components(near_links(classes, radius, block))
-    rooted = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = _fp_classes(rows, radius, block)
+    least = rows.groupBy("fp").agg(F.min("_id").alias("least")).join(rooted, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component"))
     names = rooted.join(named, "root").select("fp", "component")
     return rows.join(names, "fp").select(F.col("_id").alias(id_col), "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest id; rows without an id stay."""
-    found = simhash_components(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def _one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each class. members: id, t, c and root of every row.
+
+    The row of the smallest id stays, null ids being the last; of rows with that id, the one whose text has the least
+    hashes; of rows equal in both, the one whose other columns have the least hash. Rows are found by id and text, so an
+    id that stands for other texts too does no harm. Texts are exchanged once, by id and text; where the chosen rows
+    repeat, these are aggregated before the exchange.
+    """
+    chosen = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "c")).alias("_w")).select("_w.id", "_w.t", "_w.c")
+    same = [members[k].eqNullSafe(chosen[k]) for k in ("id", "t", "c")]
+    counted = members.join(chosen.hint("merge"), same[0] & same[1] & same[2]).groupBy(members["id"], members["t"], members["c"]).agg(F.count(F.lit(1)).alias("_n"))
+    winners, _ = persisted(counted.toDF("_i", "_a", "_b", "_n"), "winners")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_t"), F.xxhash64(F.lit(1), text).alias("_c"))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_a")) & (F.col("_c") == F.col("_b"))
+    out = keyed.join(winners.where("_n = 1").hint("merge"), on).select("_own.*")
+    if winners.where("_n > 1").isEmpty():
+        return out
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"_own.`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"_own.`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col)], F.lit(0))
+    first = keyed.withColumn("_order", order).groupBy("_id", "_t", "_c").agg(F.min_by("_own", "_order").alias("_own"))
+    return out.unionByName(first.join(winners.where("_n > 1").hint("merge"), on).select("_own.*"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group of near duplicates, see _one_of_each; columns, of any type, stay. Null and empty
+    texts are one group; an empty table stays empty."""
+    rows, _ = persisted(fingerprints(_rows(docs, id_col, text_col), "id", "text", shingle, seed, ("t", "c")), "fingerprints")
+    return _one_of_each(docs, rows.join(_fp_classes(rows, radius, block), "fp"), id_col, text_col)
 
 
 # Similarity of 0.8 over five-word shingles ------------------------------------------------------------------------
@@ -146,16 +183,9 @@ def sample_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int =
     return np.concatenate(out).view(np.int64)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id_col, component: each row of docs and the smallest id that links of similar texts reach.
-
-    Texts are candidates if the SimHashes of a sample of their shingles are equal, and linked if the Jaccard similarity of
-    their shingles is at least `similarity`. Equal texts are one class. A text is first compared with the pivots of its
-    buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then all
-    pairs of a bucket that these links have not joined are compared, in blocks, so no candidate is dropped. Null and empty texts are alike; null ids and repeated rows stay, as in
-    simhash_components. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id, t, c and root of each row: its class of similar texts."""
+    rows = _rows(docs, id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task meets are sampled once
@@ -211,15 +241,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
     rest, _ = persisted(sorted_runs(dealt).mapInArrow(unlinked, "x bigint, y bigint").distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
-    joined = components(by_pivots.unionByName(compared(rest)))
-    members, _ = persisted(rows.select("id", "t"), "members")
-    classes = members.groupBy("t").agg(F.min("id").alias("least")).join(joined.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component"))
-    return members.join(classes.join(named, "root").select("t", "component"), "t").select(F.col("id").alias(id_col), "component")
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of similar texts, that of the smallest id; rows without an id stay."""
-    found = similar_components(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    joined = components(by_pivots.unionByName(compared(rest))).withColumnRenamed("node", "t")
+    members, _ = persisted(rows.select("id", "t", "c"), "members")
+    # a text that shares t with another by chance is a class of its own
+    known = members.groupBy("t").agg(F.min("c").alias("_first")).join(joined, "t", "left").select("t", "_first", F.coalesce("root", "t").alias("root"))
+    return members.join(known, "t").select("id", "t", "c", F.when(F.col("c") == F.col("_first"), F.col("root")).otherwise(F.xxhash64("t", "c")).alias("root"))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id_col, component: each row of docs and the smallest id that links of similar texts reach.
+
+    Texts are candidates if the SimHashes of a sample of their shingles are equal, and linked if the Jaccard similarity of
+    their shingles is at least `similarity`. Equal texts are one class. A text is first compared with the pivots of its
+    buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then all
+    pairs of a bucket that these links have not joined are compared, in blocks, so no candidate is dropped. Null and empty
+    texts are alike; null ids and repeated rows stay, as in simhash_components. An empty table gives an empty result.
+    """
+    members = _similar_members(docs, id_col, text_col, shingle, similarity)
+    named = members.groupBy("root").agg(F.min("id").alias("component"))
+    return members.join(named, "root").select(F.col("id").alias(id_col), "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of similar texts, see _one_of_each; columns, of any type, stay. Null and empty texts
+    are one group; an empty table stays empty."""
+    return _one_of_each(docs, persisted(_similar_members(docs, id_col, text_col, shingle, similarity), "members")[0], id_col, text_col)
