@@ -69,3 +69,44 @@ def test_stages_do_what_they_say(spark, corpus, tmp_path):
                 assert r.start == at
                 at += r.n_tokens
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, df.collect()))
+
+
+def odd_rows():
+    rng = random.Random(9)
+    body = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same = body(80)
+    rows = [(None, body(60), "s", {"k": 1}), (None, None, None, None), (1, None, "s", {}), (2, "", None, {}), (3, " \n\t", "s", {}), (4, same, "s", {"k": 2}), (4, same, "s", {"k": 2}), (5, same, "t", {"k": 3}), (4, body(70), "t", {"k": 4})]
+    rows += [(6, body(30_000), "s", {"k": 5}), (7, "x" * 200_000, "t", {"k": 6})] + [(10 + i, body(50), "st"[i % 2], {"k": i}) for i in range(30)]
+    return [(i, text, "en", source, len(text or ""), own, "a", 1, 2.0, "b") for i, text, source, own in rows]
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, own map<string, int>, score string, key int, size double, t string"
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, corpus):
+    folder, _, _ = corpus
+    df = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    plain = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    every = plain(df)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, folder)
+        assert out.columns == df.columns and stage(spark, df.limit(0), folder).count() == 0
+        got = plain(out)
+        if name == "quality":
+            assert all(r in every for r in got)
+        elif name == "near_duplicates":
+            assert all(r in every for r in got) and len(got) == len({(r[0], r[1]) for r in got})
+            assert sum(r[1] == every[0][1] for r in got) <= 1 and {k["k"] for k in (r[5] for r in got) if k} >= {1, 2, 4, 5, 6, *range(30)}
+            assert sum(not (r[1] or "").strip() for r in got) == 1
+        elif name == "decontamination":
+            assert got == every
+        else:
+            assert {(r[0], str(r[5])) for r in got} <= {(r[0], str(r[5])) for r in every} and all(r[1].strip() for r in got)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, df, folder).count() == len(every) and last(spark, df.limit(0), folder).count() == 0
+
+
+def test_quality_keeps_all_where_nothing_can_be_learnt(spark, corpus, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(odd_rows(), ODD)
+    assert corpus_pipeline.quality(spark, df, str(tmp_path)).count() == df.count()
