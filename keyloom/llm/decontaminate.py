@@ -6,24 +6,27 @@ score that it must reach, so that one threshold, 1, holds for all items.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import persisted
+from keyloom.llm.common import persisted, scratch
 
 K1, B, SHINGLE, OVERLAP = 1.2, 0.75, 5, 0.8
 #: Items of an index shard, items of a column of the passage filter, postings of a block.
 SHARD, COLUMN, POSTINGS = 2000, 8, 8
-#: Words of texts that are searched together.
-AT_ONCE = 1 << 16
+#: Words of texts that are searched together, in one shard and in each of several; shards that a worker keeps.
+AT_ONCE, AT_ONCE_OF_MANY, KEPT = 1 << 16, 1 << 20, 2
 EPS = 1e-6
 #: Each byte as it is, but for the signs of ASCII.
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -204,21 +207,43 @@ HIT = "array<struct<item_id: bigint, score: double, overlap: double, question: d
 _ARROW_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
 
-def _finder(searcher: Searcher):
+def _write_shard(searcher: Searcher, uri: str, number: int) -> str:
+    files, root = fs.FileSystem.from_uri(uri)
+    files.create_dir(root, recursive=True)
+    with files.open_output_stream(f"{root}/{number:06d}.index") as out:
+        out.write(pickle.dumps(searcher))
+    return f"{uri}/{number:06d}.index"
+
+
+@lru_cache(KEPT)
+def _read_shard(uri: str) -> Searcher:
+    files, path = fs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as file:
+        return pickle.loads(file.read())
+
+
+def _finder(shards: list[str]):
+    """A function that searches texts in shards of the index, which workers read from the shared folder one by one."""
+    most = AT_ONCE if len(shards) == 1 else AT_ONCE_OF_MANY
+
     @F.arrow_udf(HIT)
     def find(texts: pa.Array) -> pa.Array:
         out: list[list[dict]] = []
         batch: list[list[bytes]] = []
 
         def search() -> None:
-            out.extend([dict(zip(("item_id", "score", "overlap", "question", "answer"), h, strict=True)) for h in hits] for hits in searcher.search(batch))
+            found: list[list[dict]] = [[] for _ in batch]
+            for shard in shards:
+                for own, hits in zip(found, _read_shard(shard).search(batch), strict=True):
+                    own += [dict(zip(("item_id", "score", "overlap", "question", "answer"), h, strict=True)) for h in hits]
+            out.extend(found)
             batch.clear()
 
         held = 0
         for t in texts:
             batch.append(words_of(t.as_py()))
             held += len(batch[-1])
-            if held >= AT_ONCE:
+            if held >= most:
                 search()
                 held = 0
         if batch:
@@ -233,9 +258,9 @@ def find_benchmark_items(docs: DataFrame, items: DataFrame, text_col: str = "tex
 
     An item is held if the passage has at least `overlap` of the item's five-word shingles, or of its question's shingles
     and its answer's words; words are compared in lower case, without signs. Passages are windows of twice the length of
-    the items sought, each starting half a length after the last. An index has at most `shard` items; more items make
-    more indexes, which are run one after the other, so what is sent to the executors is bounded; document frequencies
-    are those of all items. Null texts count as empty and hold nothing, items without words are never held, repeated
+    the items sought, each starting half a length after the last. The index is written in shards of at most `shard` items,
+    which the driver makes and the workers read one after the other, while the documents are read once; document
+    frequencies are those of all items. Null texts count as empty and hold nothing, items without words are never held, repeated
     items are each found. A column of docs named so is replaced. An empty table of items gives empty lists.
     """
     spark = docs.sparkSession
@@ -249,23 +274,26 @@ def find_benchmark_items(docs: DataFrame, items: DataFrame, text_col: str = "tex
     counted, _ = persisted(rows.select("text").mapInArrow(terms, "n bigint, terms array<string>").where("n > 0"), "items")
     about = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
     frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    own = [c for c in docs.columns if c != out]
-    found = docs.select(*own, F.array().cast(HIT).alias(out))
+    own, uri = [c for c in docs.columns if c != out], scratch(spark, "index")
+    shards: list[str] = []
 
-    def add(found: DataFrame, batch: list[Item]) -> DataFrame:
+    def add(batch: list[Item]) -> None:
         names = spark.createDataFrame([(w.decode(),) for w in sorted({w for x in batch for w in x.words})], "term string")
         df = {r["term"].encode(): r["df"] for r in frequency.join(F.broadcast(names), "term").collect()}  # terms of one shard
         idf = {t: float(np.log1p((about["n"] - d + 0.5) / (d + 0.5))) for t, d in df.items()}
-        find = _finder(Searcher(batch, idf, about["mean"], overlap))
-        return found.select(*own, F.concat(out, find(F.coalesce(F.col(text_col), F.lit("")))).alias(out))
+        shards.append(_write_shard(Searcher(batch, idf, about["mean"], overlap), uri, len(shards)))
 
     batch: list[Item] = []
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         if (item := Item(r["item_id"], r["text"] or "")).words:
             batch.append(item)
         if len(batch) == shard:
-            found, batch = add(found, batch), []
-    return add(found, batch) if batch else found
+            add(batch)
+            batch = []
+    if batch:
+        add(batch)
+    held = _finder(shards)(F.coalesce(F.col(text_col), F.lit(""))) if shards else F.array().cast(HIT)
+    return docs.select(*own, held.alias(out))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
