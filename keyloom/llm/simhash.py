@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import persisted
@@ -157,6 +158,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 #: can cover finds them. Fingerprints of samples do: the shingles are dealt by their hash to parts of about PART_SIZE,
 #: and of SAMPLES parts each one is left untouched by the differing shingles with a probability of 0.4 or more.
 SIMILARITY, SIMILAR_SHINGLE, PART_SIZE, SAMPLES, PIVOTS = 0.8, 5, 4, 24, 4
+#: Texts whose shingles a task keeps while it compares.
+KEPT = 16
 
 
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -190,30 +193,47 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task meets are sampled once
         for batch in batches:
-            ts, ks = [], []
+            ts, ks, ns = [], [], []
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if t not in seen:
                     seen.add(t)
-                    own = sample_keys(shingle_set(text.as_py(), shingle), similarity)
+                    tokens = shingle_set(text.as_py(), shingle)
+                    own = sample_keys(tokens, similarity)
                     ts.append(np.full(len(own), t))
                     ks.append(own)
+                    ns.append(np.full(len(own), len(tokens)))
             if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ts)), pa.array(np.concatenate(ks))], ["t", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, ks, ns)], ["t", "key", "n"])
 
-    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint").distinct(), "samples")
-    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    def may(n, m) -> Column:
+        """Whether sets of these sizes can be similar."""
+        return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)
+
+    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint").distinct(), "samples")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared, _ = persisted(found.join(sizes.hint("merge"), "key"), "shared")
-    degree = shared.groupBy("t").agg(F.sum(F.log2("n")).alias("degree"))
-    central = shared.join(degree.hint("merge"), "t").groupBy("key").agg(F.max(F.struct("degree", "t")).alias("a"), F.min("t").alias("b"))
-    pivots = central.select("key", F.explode(F.array_distinct(F.array("a.t", "b"))).alias("o"))
-    votes = shared.join(pivots.hint("merge"), "key").where("t <> o").groupBy("t", "o").agg(F.count(F.lit(1)).alias("n"))
+    degree = shared.groupBy("t").agg(F.sum(F.log2("m")).alias("degree"))
+    central = shared.join(degree.hint("merge"), "t").groupBy("key").agg(F.max(F.struct("degree", "t", "n")).alias("a"), F.min(F.struct("t", "n")).alias("b"))
+    pivots = central.select("key", F.explode(F.array_distinct(F.array(F.struct("a.t", "a.n"), F.struct("b.t", "b.n")))).alias("o")).select("key", F.col("o.t").alias("o"), F.col("o.n").alias("on"))
+    votes = shared.join(pivots.hint("merge"), "key").where((F.col("t") != F.col("o")) & may("n", "on")).groupBy("t", "o").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("n", "o")), False).alias("os"))  # at most two of each of a text's few keys
     tried, _ = persisted(best.select("t", F.explode(F.slice("os", 1, PIVOTS)).alias("w")).select(F.least("t", "w.o").alias("x"), F.greatest("t", "w.o").alias("y")).distinct(), "pairs")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def tokens(t: int, text: pa.Scalar) -> np.ndarray:
+            if t not in kept:
+                kept[t] = shingle_set(text.as_py(), shingle)
+                if len(kept) > KEPT:
+                    kept.popitem(last=False)
+            kept.move_to_end(t)
+            return kept[t]
+
         for batch in batches:
             keep = []
-            for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = shingle_set(a.as_py(), shingle), shingle_set(b.as_py(), shingle)
+            for k, (i, j, a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                x, y = tokens(i, a), tokens(j, b)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     keep.append(k)
@@ -228,15 +248,15 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 
     by_pivots = compared(tried)
     roots = components(by_pivots)
-    marked = shared.select("t", "key").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    marked = shared.select("t", "key", "n").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "root", "run", "side", "cross")
+    dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "n", "root", "run", "side", "cross")
 
     def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in whole_runs(batches):
-            t, root = held["t"].to_numpy(), held["root"].to_numpy()
+            t, root, n = held["t"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy()
             for i, j in pairs(held):
-                some = root[i] != root[j]
+                some = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 x, y = t[i[some]], t[j[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
