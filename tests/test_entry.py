@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from keyloom import catalog
+from keyloom import catalog, catalog_stored, catalog_writes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,13 +19,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", catalog.SQL)
+@pytest.mark.parametrize("name", [*catalog.SQL, *catalog_stored.SQL, *catalog_writes.SQL])
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, DIR)
     names = sorted(df.columns)
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == names
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN"}
     duck_kinds = dict(zip(rel.columns, map(str, rel.types), strict=True))
     assert {c: kinds[t] for c, t in df.dtypes} == duck_kinds
     key = lambda r: str(tuple(r))
