@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.encode import hash_tuple
 from keyloom.operators.query import Query, Table
-from keyloom.plans.planner import group_hashes, plan_group
+from keyloom.plans.planner import group_hashes, key_bounds, plan_group
 from keyloom.plans.predicates import QueryError, conjunction
 from keyloom.plans.schema import VERSION, CompiledTable
 
@@ -63,7 +63,8 @@ def query_group(query: Query, freshness: DataFrame, cached: Mapping[int, int] |
     """id, values, upc and records of the groups that the query's predicates name, in the order of their hash.
 
     A group that the freshness table does not know is left out; one whose counter the caller has gets empty records. The
-    records are those of the group that fulfil every predicate, so equal hashes of different values do no harm.
+    records are those of the group that fulfil every predicate, so equal hashes of different values do no harm. Predicates
+    on columns that lead a packed key, as of a group that inherits from it, range over the key too.
     """
     if query.selected or query.excluded or query.groups or query.descending or query.most is not None:
         raise QueryError("a grouped read takes neither selection, grouping, order nor limit")
@@ -76,7 +77,7 @@ def query_group(query: Query, freshness: DataFrame, cached: Mapping[int, int] |
     asked = spark.createDataFrame([(h, list(v), (cached or {}).get(h)) for h, v in wanted.items()], "id int, values array<bigint>, claimed bigint")
     known = freshness.where(F.col("part") == F.lit(part_value)).groupBy("id").agg(F.max("upc").alias("upc"))
     split = known.join(F.broadcast(asked), "id").withColumn("fresh", F.coalesce(F.col("claimed") == F.col("upc"), F.lit(False)))  # the combinations of one query
-    rows = with_hashes(t.data.where(conjunction(query.preds)), t.compiled, names, "_group")
+    rows = with_hashes(t.data.where(conjunction([*query.preds, *key_bounds(t.compiled, query.preds)])), t.compiled, names, "_group")
     own = [c for c in t.compiled.visible if c in t.data.columns]
     wanted_groups = F.broadcast(split.where("NOT fresh").select(F.col("id").alias("_group")))
     changed = rows.join(wanted_groups, "_group", "left_semi").dropDuplicates(["_group", *[c for c in t.compiled.primary_key if c in rows.columns]])

@@ -102,7 +102,7 @@ def test_slots(spark, table):
     claims = spark.createDataFrame([(1, 4, 4, 1), (1, 6, 5, 2), (1, 6, 6, 3), (1, 8, 7, 4), (2, 9, None, 5), (2, 4, 0, 6)], "part int, id bigint, ver int, at int")
     assert sorted((r.part, r.id) for r in incremental.ids_to_fetch(claims, slots).collect()) == [(1, 6), (1, 8), (2, 4), (2, 9)]  # the least one claimed
     assert sorted((r.part, r.id) for r in incremental.ids_to_fetch(claims, slots, "at").collect()) == [(1, 8), (2, 4), (2, 9)]
-    got = incremental.cached_generic(table, claims, slots).collect()
+    got = incremental.cached_generic(table, claims, slots, "at").collect()
     assert sorted((r.ID, r.n1, r.updated_version) for r in got) == [(8, 8, 8), (9, 9, 9)]
 
 
