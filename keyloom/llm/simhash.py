@@ -161,8 +161,8 @@ SIMILARITY, SIMILAR_SHINGLE, PART_SIZE, SAMPLES, PIVOTS = 0.8, 5, 4, 24, 4
 #: Keys that texts with all SAMPLES must share, apart from pivots: at the least similarity they share 9.6 of 24 on average,
 #: and fewer than these with a probability of 7e-4.
 LIKELY = 3
-#: Texts whose shingles a task keeps while it compares.
-KEPT = 16
+#: Texts whose shingles a task keeps while it compares, and pairs whose keys are held at once.
+KEPT, AT_ONCE = 16, 1 << 14
 
 
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -173,10 +173,15 @@ def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
 
 def sample_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int = PART_SIZE, samples: int = SAMPLES) -> np.ndarray:
     """Keys of the SimHashes of samples of a text's shingles; texts of neighbouring sizes share the number of parts."""
+    return placed_keys(tokens, similarity, size, samples)[0]
+
+
+def placed_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int = PART_SIZE, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+    """sample_keys, and a place for each from 0 to 3 * samples - 1: equal keys of two texts have the same place."""
     n = len(tokens)
     if not n:
-        return np.zeros(1, np.int64)
-    out = []
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    out, places = [], []
     for parts in {1 << int(x / (size if n >= 16 * size else 2)).bit_length() for x in (n * similarity, n, n / similarity)}:
         part = (tokens >> np.uint64(40)) % np.uint64(parts)
         some = part < samples
@@ -186,7 +191,8 @@ def sample_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int =
         np.add.at(ones, part, bits)
         prints = np.packbits(2 * ones > total[:, None], axis=1).view(np.uint64).ravel()[total > 0]
         out.append((prints ^ np.uint64(parts)) * np.uint64(0x9E3779B97F4A7C15) + np.flatnonzero(total > 0).astype(np.uint64))
-    return np.concatenate(out).view(np.int64)
+        places.append(parts.bit_length() % 3 * samples + np.flatnonzero(total > 0))  # the numbers of parts are neighbouring powers of two
+    return np.concatenate(out).view(np.int64), np.concatenate(places)
 
 
 def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -196,23 +202,24 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that one task meets are sampled once
         for batch in batches:
-            ts, ks, ns = [], [], []
+            ts, ks, ns, ps = [], [], [], []
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if t not in seen:
                     seen.add(t)
                     tokens = shingle_set(text.as_py(), shingle)
-                    own = sample_keys(tokens, similarity)
+                    own, places = placed_keys(tokens, similarity)
                     ts.append(np.full(len(own), t))
                     ks.append(own)
                     ns.append(np.full(len(own), len(tokens)))
+                    ps.append(places)
             if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, ks, ns)], ["t", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, ks, ns, ps)], ["t", "key", "n", "place"])
 
     def may(n, m) -> Column:
         """Whether sets of these sizes can be similar."""
         return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)
 
-    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint").distinct(), "samples")
+    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint, place bigint").distinct(), "samples")
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared, _ = persisted(found.join(sizes.hint("merge"), "key"), "shared")
     degree = shared.groupBy("t").agg(F.sum(F.log2("m")).alias("degree"))
@@ -251,22 +258,37 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 
     by_pivots = compared(tried)
     roots = components(by_pivots)
-    marked = shared.select("t", "key", "n").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    marked = shared.select("t", "key", "n", "place").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "n", "root", "run", "side", "cross")
+    own = shared.groupBy("t").agg(F.collect_list(F.struct("place", "key")).alias("ks"))  # 3 * SAMPLES at most
+    held_apart = marked.join(apart.hint("merge"), "key").join(own.hint("merge"), "t")
+    dealt = in_blocks(held_apart, ["key"], F.col("t"), BLOCK).select("t", "n", "place", "root", "ks", "run", "side", "cross")
 
     def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that links have not joined, by the first key that they share, if they share enough of them."""
         for held in whole_runs(batches):
-            t, root, n = held["t"].to_numpy(), held["root"].to_numpy(), held["n"].to_numpy()
-            for i, j in pairs(held):
+            t, root, n, place = (held[c].to_numpy() for c in ("t", "root", "n", "place"))
+            lists = held["ks"].combine_chunks()
+            row = np.repeat(np.arange(len(t)), lists.value_lengths().to_numpy())
+            every = lists.flatten()
+            codes = np.zeros((len(t), 3 * SAMPLES), np.int64)
+            codes[row, every.field("place").to_numpy()] = every.field("key").to_numpy()
+            has = codes != 0
+            has[:, 0] |= n == 0  # an empty text's only key is 0
+            for i, j in pairs(held, AT_ONCE):
                 some = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
                 i, j = i[some], j[some]
-                x, y, least = t[i], t[j], np.minimum(n[i], n[j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(least)], ["x", "y", "n"])
-
-    met = sorted_runs(dealt).mapInArrow(unlinked, "x bigint, y bigint, n bigint").groupBy("x", "y").agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("n"))
-    likely = met.where((F.col("keys") >= LIKELY) | (F.col("n") < F.lit(SAMPLES * PART_SIZE / similarity))).select("x", "y")
-    rest, _ = persisted(likely.join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
+                for at in range(0, len(i), AT_ONCE):
+                    x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                    equal = (codes[x] == codes[y]) & has[x] & has[y]
+                    enough = (equal.sum(axis=1) >= LIKELY) | (np.minimum(n[x], n[y]) < SAMPLES * PART_SIZE / similarity)
+                    enough &= np.argmax(equal, axis=1) == place[x]
+                    x, y = t[x[enough]], t[y[enough]]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    met = sorted_runs(dealt).mapInArrow(unlinked, "x bigint, y bigint").distinct()
+    rest, _ = persisted(met.join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
     joined = components(by_pivots.unionByName(compared(rest))).withColumnRenamed("node", "t")
     members, _ = persisted(rows.select("id", "t", "c"), "members")
     # a text that shares t with another by chance is a class of its own
