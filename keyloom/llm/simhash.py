@@ -155,14 +155,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # Similarity of 0.8 over five-word shingles ------------------------------------------------------------------------
 
 #: Near copies at a similarity of 0.8 differ in about ten bits of a whole text's fingerprint, so no radius that buckets
-#: can cover finds them. Fingerprints of samples do: the shingles are dealt by their hash to parts of about PART_SIZE,
-#: and of SAMPLES parts each one is left untouched by the differing shingles with a probability of 0.4 or more.
+#: can cover finds them. Fingerprints of samples do: the shingles are dealt by their hash to parts of about
+#: PART_SIZE, and of SAMPLES parts each one is left untouched by the differing shingles with a probability of 0.4 or more.
 SIMILARITY, SIMILAR_SHINGLE, PART_SIZE, SAMPLES, PIVOTS = 0.8, 5, 4, 24, 4
-#: Keys that texts with all SAMPLES must share, apart from pivots: at the least similarity they share 9.6 of 24 on average,
-#: and fewer than these with a probability of 7e-4.
-LIKELY = 3
-#: Texts whose shingles a task keeps while it compares, and pairs whose keys are held at once.
-KEPT, AT_ONCE = 16, 1 << 14
+#: Bits of a text's parity sketch for each shingle, and the fewest and most of them.
+WIDTH, NARROW, WIDE = 4, 256, 1 << 16
+#: Texts that a text of a bucket is compared with first, and by how much that grows from round to round.
+NEAREST, GROWTH = 4, 8
+#: Texts whose shingles a task keeps while it compares, pairs and words of sketches that are held at once.
+KEPT, AT_ONCE, WORDS = 16, 1 << 14, 1 << 19
 
 
 def shingle_set(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -195,31 +196,68 @@ def placed_keys(tokens: np.ndarray, similarity: float = SIMILARITY, size: int =
     return np.concatenate(out).view(np.int64), np.concatenate(places)
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bits that tell for each place whether it has an odd number of tokens (Odd Sketch, Mitzenmacher et al., 2014).
+
+    Tokens that two sets share cancel out, so their sketches differ in no more bits than the sets do in tokens.
+    """
+    width = min(WIDE, max(NARROW, 1 << (WIDTH * len(tokens) - 1).bit_length() if len(tokens) else 0))
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def differing(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches i and j differ; of two widths, the wider one is folded to the other."""
+    width = np.array([len(x) for x in sketches])
+    least, out = np.minimum(width[i], width[j]), np.zeros(len(i), np.int64)
+    for w in np.unique(least).tolist():
+        of = np.flatnonzero(least == w)
+        some, at = np.unique(np.r_[i[of], j[of]], return_inverse=True)
+        bits = np.array([np.bitwise_xor.reduce(sketches[k].reshape(-1, w), axis=0) for k in some.tolist()])
+        a, b, step = at[: len(of)], at[len(of) :], max(1, WORDS // w)
+        for k in range(0, len(of), step):
+            out[of[k : k + step]] = np.bitwise_count(bits[a[k : k + step]] ^ bits[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (i, j) those that are one of the n nearest of either side, with `far`, and the items that have more."""
+    own, other = np.r_[i, j], np.r_[j, i]
+    order = np.lexsort((other, np.r_[far, far], own))
+    rank = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+    kept = np.unique(order[rank < n] % max(1, len(i)))
+    return i[kept], j[kept], far[kept], np.unique(own[order][rank == n])
+
+
 def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """id, t, c and root of each row: its class of similar texts."""
     rows = _rows(docs, id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of each text, and in place -1 the sketch of its shingles."""
         seen: set[int] = set()  # copies that one task meets are sampled once
         for batch in batches:
-            ts, ks, ns, ps = [], [], [], []
+            ts, ks, ns, ps, odd = [], [], [], [], []
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if t not in seen:
                     seen.add(t)
-                    tokens = shingle_set(text.as_py(), shingle)
+                    text = text.as_py()
+                    tokens = shingle_set(text, shingle)
                     own, places = placed_keys(tokens, similarity)
-                    ts.append(np.full(len(own), t))
-                    ks.append(own)
-                    ns.append(np.full(len(own), len(tokens)))
-                    ps.append(places)
+                    ts.append(np.full(len(own) + 1, t))
+                    ks.append(np.r_[own, 0])
+                    ns.append(np.full(len(own) + 1, len(tokens)))
+                    ps.append(np.r_[places, -1])
+                    odd += [None] * len(own) + [parity_sketch(tokens).tobytes()]
             if ts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ts, ks, ns, ps)], ["t", "key", "n", "place"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (ts, ks, ns, ps)], pa.array(odd, pa.binary())], ["t", "key", "n", "place", "odd"])
 
     def may(n, m) -> Column:
         """Whether sets of these sizes can be similar."""
         return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)
 
-    found, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint, place bigint").distinct(), "samples")
+    every, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint, place bigint, odd binary").distinct(), "samples")
+    found, sketched = every.where("place >= 0").select("t", "key", "n"), every.where("place < 0").select("t", "odd")
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared, _ = persisted(found.join(sizes.hint("merge"), "key"), "shared")
     degree = shared.groupBy("t").agg(F.sum(F.log2("m")).alias("degree"))
@@ -256,40 +294,46 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         both = tried.join(first.hint("merge"), "x").join(second.hint("merge"), "y").select("x", "y", "xb", "yb")
         return persisted(both.mapInArrow(compare, "a bigint, b bigint"), "similar")[0]
 
-    by_pivots = compared(tried)
-    roots = components(by_pivots)
-    marked = shared.select("t", "key", "n", "place").join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-    apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    own = shared.groupBy("t").agg(F.collect_list(F.struct("place", "key")).alias("ks"))  # 3 * SAMPLES at most
-    held_apart = marked.join(apart.hint("merge"), "key").join(own.hint("merge"), "t")
-    dealt = in_blocks(held_apart, ["key"], F.col("t"), BLOCK).select("t", "n", "place", "root", "ks", "run", "side", "cross")
-
-    def unlinked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs that links have not joined, by the first key that they share, if they share enough of them."""
-        for held in whole_runs(batches):
-            t, root, n, place = (held[c].to_numpy() for c in ("t", "root", "n", "place"))
-            lists = held["ks"].combine_chunks()
-            row = np.repeat(np.arange(len(t)), lists.value_lengths().to_numpy())
-            every = lists.flatten()
-            codes = np.zeros((len(t), 3 * SAMPLES), np.int64)
-            codes[row, every.field("place").to_numpy()] = every.field("key").to_numpy()
-            has = codes != 0
-            has[:, 0] |= n == 0  # an empty text's only key is 0
-            for i, j in pairs(held, AT_ONCE):
-                some = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-                i, j = i[some], j[some]
-                for at in range(0, len(i), AT_ONCE):
-                    x, y = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
-                    equal = (codes[x] == codes[y]) & has[x] & has[y]
-                    enough = (equal.sum(axis=1) >= LIKELY) | (np.minimum(n[x], n[y]) < SAMPLES * PART_SIZE / similarity)
-                    enough &= np.argmax(equal, axis=1) == place[x]
-                    x, y = t[x[enough]], t[y[enough]]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
-
-    met = sorted_runs(dealt).mapInArrow(unlinked, "x bigint, y bigint").distinct()
-    rest, _ = persisted(met.join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
-    joined = components(by_pivots.unionByName(compared(rest))).withColumnRenamed("node", "t")
+    def unlinked(last: int):
+        """For each text of a bucket the `last` nearest ones that links have not joined with it and whose sketches allow the
+        similarity, and for each bucket where a text has more of them a row without a pair."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in whole_runs(batches):
+                t, root, n, key = (held[c].to_numpy() for c in ("t", "root", "n", "key"))
+                sketches = [np.frombuffer(x, np.uint64) for x in held["odd"].to_pylist()]
+                none = np.empty(0, np.int64)
+                x, y, far, more = none, none, none, none
+                for i, j in pairs(held, AT_ONCE):
+                    some = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                    i, j = i[some], j[some]
+                    d = differing(sketches, i, j)
+                    some = d <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+                    x, y, far, rest = nearest(np.r_[x, i[some]], np.r_[y, j[some]], np.r_[far, d[some]], last)
+                    more = np.union1d(more, rest)
+                again = np.unique(key[more])
+                if len(x) + len(again):
+                    first, second = np.minimum(t[x], t[y]), np.maximum(t[x], t[y])
+                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.nulls(len(x), pa.int64())], ["x", "y", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(again)], ["x", "y", "key"])
+
+        return run
+
+    roots, held, last = components(compared(tried)), shared, NEAREST
+    while True:
+        marked = held.join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+        apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
+        dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "key", "n", "root", "run", "side", "cross")
+        met, _ = persisted(sorted_runs(dealt.join(sketched.hint("merge"), "t")).mapInArrow(unlinked(last), "x bigint, y bigint, key bigint"), "met")
+        new, _ = persisted(met.where("key IS NULL").select("x", "y").distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            roots = components(roots.toDF("a", "b").unionByName(compared(new)))
+        again = met.where("key IS NOT NULL").select("key").distinct()
+        if again.isEmpty():
+            break
+        # buckets where a text has more that its links have not joined
+        held, tried, last = held.join(again.hint("merge"), "key", "left_semi"), tried.unionByName(new), GROWTH * last
+    joined = roots.withColumnRenamed("node", "t")
     members, _ = persisted(rows.select("id", "t", "c"), "members")
     # a text that shares t with another by chance is a class of its own
     known = members.groupBy("t").agg(F.min("c").alias("_first")).join(joined, "t", "left").select("t", "_first", F.coalesce("root", "t").alias("root"))
@@ -299,11 +343,13 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """id_col, component: each row of docs and the smallest id that links of similar texts reach.
 
-    Texts are candidates if the SimHashes of a sample of their shingles are equal, and linked if the Jaccard similarity of
-    their shingles is at least `similarity`. Equal texts are one class. A text is first compared with the pivots of its
-    buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then all
-    pairs of a bucket that these links have not joined are met, in blocks; those that share LIKELY keys, or that are too
-    short to have as many, are compared. Null and empty texts are alike; null ids and repeated rows stay, as in simhash_components. An empty table gives an empty result.
+    Texts link if the Jaccard similarity of their shingles is at least `similarity`; candidates are texts for which the
+    SimHashes of a sample of their shingles are equal. Equal texts are one class. A text is first compared with the pivots
+    of its buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then
+    all pairs of a bucket that links have not joined are met, in blocks, by sketches that differ in no more bits than the
+    texts do in shingles; where these allow the similarity the texts are compared, the nearest first, in rounds that end
+    when no text has further ones. So no candidate is left out. Null and empty texts are alike; null ids and repeated rows
+    stay, as in simhash_components. An empty table gives an empty result.
     """
     members = _similar_members(docs, id_col, text_col, shingle, similarity)
     named = members.groupBy("root").agg(F.min("id").alias("component"))

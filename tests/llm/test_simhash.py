@@ -5,8 +5,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from keyloom.llm import simhash
 from keyloom.llm.components import components
-from keyloom.llm.simhash import drop_near_duplicates, drop_similar, fingerprint, masks, near_links, sample_keys, shingle_set, similar_components, simhash_components
+from keyloom.llm.simhash import differing, drop_near_duplicates, drop_similar, fingerprint, masks, near_links, nearest, parity_sketch, sample_keys, shingle_set, similar_components, simhash_components
 
 SCHEMA = "doc_id bigint, text string, fp string, component int"
 
@@ -172,3 +173,42 @@ def test_variants_of_a_template_that_is_not_in_the_table(spark):
 
 def test_similar_texts_of_an_empty_table(spark):
     assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_do():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 63, 64, 65, 300, 20_000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 12 + 1).astype(np.uint64)]) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    got = differing([parity_sketch(s) for s in sets], i, j)
+    assert (got <= apart).all() and (got[apart < 40] >= 0.8 * apart[apart < 40] - 2).all()
+
+
+def test_nearest_pairs_and_items_that_have_more():
+    i, j, far = np.array([0, 0, 0, 1, 2]), np.array([1, 2, 3, 2, 3]), np.array([5, 1, 9, 2, 3])
+    x, y, d, more = nearest(i, j, far, 1)
+    assert sorted(zip(x.tolist(), y.tolist(), d.tolist(), strict=True)) == [(0, 2, 1), (1, 2, 2), (2, 3, 3)] and more.tolist() == [0, 1, 2, 3]
+    assert len(nearest(i, j, far, 3)[0]) == 5 and not len(nearest(i, j, far, 3)[3])
+
+
+def test_pairs_of_a_group_of_scattered_copies_grow_with_its_size(spark, monkeypatch):
+    rng, sizes = random.Random(29), []
+    base = [f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(250)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(250), rng.randint(5, 12)):
+            words[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(words), "x", 1))
+    plain = simhash.persisted
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "pairs":
+            sizes.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(simhash, "persisted", counted)
+    assert similar_components(spark.createDataFrame(rows, SCHEMA)).count() == 300
+    assert sum(sizes[1:]) <= 2 * len(rows)  # pairs beside those with pivots
