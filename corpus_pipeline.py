@@ -33,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a similarity of 0.8 over five words.
+    """One document of each group of texts that SimHash links (4 bits, found by the covering family of op7) or a similarity
+    of 0.8 over five words, of which samples' SimHashes make the candidates.
 
     The row of the smallest doc_id stays, null ids being the last; of rows with one id, that of the least text hash; of
     rows equal in both, one. An id that stands for other texts too does no harm. Null and empty texts are one group. Very

@@ -155,7 +155,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 # Similarity of 0.8 over five-word shingles ------------------------------------------------------------------------
 
 #: Near copies at a similarity of 0.8 differ in about ten bits of a whole text's fingerprint, so no radius that buckets
-#: can cover finds them. Fingerprints of samples do: the shingles are dealt by their hash to parts of about
+#: can cover finds them all. Fingerprints of samples find the rest: the shingles are dealt by their hash to parts of about
 #: PART_SIZE, and of SAMPLES parts each one is left untouched by the differing shingles with a probability of 0.4 or more.
 SIMILARITY, SIMILAR_SHINGLE, PART_SIZE, SAMPLES, PIVOTS = 0.8, 5, 4, 24, 4
 #: Bits of a text's parity sketch for each shingle, and the fewest and most of them.
@@ -229,12 +229,12 @@ def nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> tuple[np.n
     return i[kept], j[kept], far[kept], np.unique(own[order][rank == n])
 
 
-def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, radius: int = RADIUS) -> DataFrame:
     """id, t, c and root of each row: its class of similar texts."""
     rows = _rows(docs, id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The keys of each text, and in place -1 the sketch of its shingles."""
+        """The keys of each text, and in place -1 its fingerprint with the sketch of its shingles."""
         seen: set[int] = set()  # copies that one task meets are sampled once
         for batch in batches:
             ts, ks, ns, ps, odd = [], [], [], [], []
@@ -245,7 +245,7 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                     tokens = shingle_set(text, shingle)
                     own, places = placed_keys(tokens, similarity)
                     ts.append(np.full(len(own) + 1, t))
-                    ks.append(np.r_[own, 0])
+                    ks.append(np.r_[own, fingerprint(text)])
                     ns.append(np.full(len(own) + 1, len(tokens)))
                     ps.append(np.r_[places, -1])
                     odd += [None] * len(own) + [parity_sketch(tokens).tobytes()]
@@ -257,7 +257,12 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)
 
     every, _ = persisted(rows.select("t", F.col("text").cast("binary").alias("b")).mapInArrow(keys, "t bigint, key bigint, n bigint, place bigint, odd binary").distinct(), "samples")
-    found, sketched = every.where("place >= 0").select("t", "key", "n"), every.where("place < 0").select("t", "odd")
+    found, prints = every.where("place >= 0").select("t", "key", "n"), every.where("place < 0").select("t", F.col("key").alias("fp"), "odd")
+    # the links of the fingerprints, by the covering family
+    classes = prints.select("t", "fp").join(_fp_classes(prints, radius, BLOCK), "fp")
+    least = classes.groupBy("root").agg(F.min("t").alias("b"))
+    by_prints, _ = persisted(classes.join(least, "root").where("t <> b").select(F.col("t").alias("a"), "b"), "similar")
+
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared, _ = persisted(found.join(sizes.hint("merge"), "key"), "shared")
     degree = shared.groupBy("t").agg(F.sum(F.log2("m")).alias("degree"))
@@ -319,12 +324,12 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 
         return run
 
-    roots, held, last = components(compared(tried)), shared, NEAREST
+    roots, held, last = components(by_prints.unionByName(compared(tried))), shared, NEAREST
     while True:
         marked = held.join(roots.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
         apart = marked.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
         dealt = in_blocks(marked.join(apart.hint("merge"), "key"), ["key"], F.col("t"), BLOCK).select("t", "key", "n", "root", "run", "side", "cross")
-        met, _ = persisted(sorted_runs(dealt.join(sketched.hint("merge"), "t")).mapInArrow(unlinked(last), "x bigint, y bigint, key bigint"), "met")
+        met, _ = persisted(sorted_runs(dealt.join(prints.select("t", "odd").hint("merge"), "t")).mapInArrow(unlinked(last), "x bigint, y bigint, key bigint"), "met")
         new, _ = persisted(met.where("key IS NULL").select("x", "y").distinct().join(tried.hint("merge"), ["x", "y"], "left_anti"), "pairs")
         if not new.isEmpty():
             roots = components(roots.toDF("a", "b").unionByName(compared(new)))
@@ -343,7 +348,8 @@ def _similar_members(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """id_col, component: each row of docs and the smallest id that links of similar texts reach.
 
-    Texts link if the Jaccard similarity of their shingles is at least `similarity`; candidates are texts for which the
+    Texts link if their SimHashes lie within RADIUS bits, found by the covering family as in simhash_components. They also
+    link if the Jaccard similarity of their shingles is at least `similarity`; candidates for that are texts for which the
     SimHashes of a sample of their shingles are equal. Equal texts are one class. A text is first compared with the pivots
     of its buckets: those that share most buckets with others, which in a group of copies is what they are copies of. Then
     all pairs of a bucket that links have not joined are met, in blocks, by sketches that differ in no more bits than the

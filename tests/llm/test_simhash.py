@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -192,6 +193,22 @@ def test_nearest_pairs_and_items_that_have_more():
     assert len(nearest(i, j, far, 3)[0]) == 5 and not len(nearest(i, j, far, 3)[3])
 
 
+def test_pipeline_links_by_fingerprints(spark):
+    """Texts within the radius that have few five-word shingles in common: the covering family links them."""
+    rng = random.Random(23)
+    words = [f"v{rng.randrange(9000)}" for _ in range(60)]
+    one = fingerprint(" ".join(words).encode())
+    while True:
+        other = list(words)
+        for at in rng.sample(range(60), 3):
+            other[at] = f"v{rng.randrange(9000)}"
+        text = " ".join(other)
+        if jaccard(five_words(" ".join(words)), five_words(text)) < 0.8 and ((one ^ fingerprint(text.encode())) % 2**64).bit_count() <= 4:
+            break
+    df = spark.createDataFrame([(1, " ".join(words), "x", 1), (2, text, "x", 1), (3, "none of these", "x", 1)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
 def test_pairs_of_a_group_of_scattered_copies_grow_with_its_size(spark, monkeypatch):
     rng, sizes = random.Random(29), []
     base = [f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(250)]
