@@ -256,7 +256,8 @@ def from_half_seconds(c: Column) -> Column:
 
 
 def slot_key(partition: Column, table_id: int) -> Column:
-    return F.shiftleft(partition.cast("int"), 14).bitwiseOR(F.lit(table_id))
+    """The partition before 14 bits of the table's id, in 64 bits: partitions from 2^17 on leave 32."""
+    return _long(partition) * F.lit(1 << 14) + F.lit(table_id)
 
 
 def slot_of(record_id: Column) -> Column:

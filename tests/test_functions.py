@@ -75,6 +75,12 @@ def test_weeks_times_and_slots(spark):
     assert half == (1704067200 - 10**9) // 2 and key == (5 << 14) | 7 and (slot, v0, v1) == (1, 1, 1)
 
 
+def test_slot_keys_of_wide_partitions(spark):
+    parts = [0, 131071, 131072, 900000, 2**31, -131073]
+    got = column(spark, [(p,) for p in parts], "p bigint", E.slot_key(F.col("p"), 3))
+    assert [k for (k,) in got] == [p * 16384 + 3 for p in parts]
+
+
 def test_normalize(spark):
     cases = {"": "", "Hello World": "hello world", "  Foo--Bar  baz!!  ": "foobar baz", "123-abc.DEF": "123abcdef", "   ": "", "only_letters": "onlyletters", "Marca Za&Co": "marca zaco", "Jamón": "jamon", "CAÑA 100LTS": "cana 100lts", "Pingüino Ñandú": "pinguino nandu", "a b\x0bc": "a b c", "a - b": "a b"}
     for raw, got in column(spark, [(c,) for c in cases], "t string", "t", text.normalize(F.col("t"))):
