@@ -14,8 +14,10 @@ from keyloom.plans.planner import plan_buckets
 from keyloom.plans.schema import CompiledTable, Index, SchemaError, Source
 
 DERIVED = ("view", "packed", "hash", "exploded", "local", "global", "packed_local", "packed_global", "group")
-#: Bytes of a table that make a file of a layout, and its fewest files.
+#: Bytes that a table reads that make a file of a layout, and its fewest files.
 FILE_BYTES, FEWEST = 256 << 20, 4
+#: Sizes of a Bloom filter that are tried, each half of the last, from 1 MB on.
+BLOOM_SIZES = 12
 
 
 def layout(table: Table, source: Source) -> DataFrame:
@@ -39,20 +41,30 @@ def layout(table: Table, source: Source) -> DataFrame:
 def write_layout(table: Table, source: Source, root: str, files: int | None = None) -> DataFrame:
     """The layout as files: ranges of (partition, key), sorted, so that a query skips files and row groups by their bounds.
 
-    The number of files follows the table's size; a partition value with very many rows is cut by its keys. Equalities on
-    a hash, or on a key, also meet a Bloom filter of each row group.
+    The number of files follows the size of what the table reads; a partition value with very many rows is cut by its keys.
+    Equalities on a hash, or on a key, also meet a Bloom filter of each row group, as large as its distinct values ask for.
     """
     spark, path = table.data.sparkSession, f"{root}/{source.name}"
     df = layout(table, source)
     key = source.packed_column if source.slots or source.kind in ("hash", "group") else None
     order = [*([source.partition] if source.partition else []), *([key] if key else [k for k in source.keys if k in df.columns])]
-    size = int(str(table.data._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = files or min(100_000, max(FEWEST, -(-size // FILE_BYTES)))
-    writer = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite")
-    writer.option(f"parquet.bloom.filter.enabled#{order[-1]}", "true").parquet(path)
+    size = bytes_read(table.data)
+    n = files or (None if size is None else min(100_000, max(FEWEST, -(-size // FILE_BYTES))))
+    ranges = df.repartitionByRange(*order) if n is None else df.repartitionByRange(n, *order)
+    bloom = {f"parquet.bloom.filter.enabled#{order[-1]}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": BLOOM_SIZES}
+    ranges.sortWithinPartitions(*order).write.mode("overwrite").options(**bloom).parquet(path)
     return spark.read.parquet(path)
 
 
+def bytes_read(df: DataFrame) -> int | None:
+    """The bytes of all that a DataFrame reads; None where Spark does not know them. Spark's own figure for a join is the
+    product of its sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    return None if any(x >= unknown for x in sizes) else sum(sizes)
+
+
 def build_layouts(table: Table, root: str, names: Sequence[str] = ()) -> Table:
     """The table with all its layouts written, or those named."""
     columns = table.compiled.columns

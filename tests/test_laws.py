@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from keyloom import catalog
 from keyloom import catalog_stored as stored
 from keyloom.operators import write
 from keyloom.operators.query import Table
@@ -77,6 +78,22 @@ def test_stored_packed_view_prunes_by_each_range(spark, tmp_path):
     assert "zz_" in pushed and "Or(" in pushed
 
 
+def test_layouts_of_a_join_take_few_small_files(spark, tmp_path):
+    """Spark's size of a join is the product of its sides, and a Bloom filter has 1 MB unless it is fitted."""
+    layouts.build_layouts(catalog.baskets(spark, "/root/testdata/sf0.01"), str(tmp_path))
+    files = list(tmp_path.glob("*/*.parquet"))
+    assert len(files) == layouts.FEWEST and sum(f.stat().st_size for f in files) < 2 << 20
+
+
+def test_bytes_read(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    one = sum(f.stat().st_size for f in (tmp_path / "a").glob("*.parquet"))
+    assert layouts.bytes_read(a) == one and layouts.bytes_read(a.join(a.withColumnRenamed("id", "j"), F.col("id") < F.col("j"))) == 2 * one
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "id int")
+    assert layouts.bytes_read(unknown) is None
+
+
 def test_a_failed_write_leaves_the_last_version(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     assert store.version == 0
