@@ -1,5 +1,7 @@
 """Laws of writes, snapshots, plans over several ranges, and files."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -85,6 +87,11 @@ def test_layouts_of_a_join_take_few_small_files(spark, tmp_path):
     assert len(files) == layouts.FEWEST and sum(f.stat().st_size for f in files) < 2 << 20
 
 
+def test_group_layout_of_a_join_takes_few_small_files(spark):
+    files = [f.removeprefix("file://") for f in stored.q_layout_group_fanout(spark, "/root/testdata/sf0.01").inputFiles()]
+    assert len(files) == layouts.FEWEST and sum(Path(f).stat().st_size for f in files) < 3 << 20
+
+
 def test_bytes_read(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "a"))
     a = spark.read.parquet(str(tmp_path / "a"))
